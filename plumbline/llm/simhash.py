@@ -116,7 +116,7 @@ def links_of_bucket(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join the same components as all pairs of fp that differ in two bits at most; distinct fp."""
     if len(fp) <= FEW:
         i, j = np.triu_indices(len(fp), 1)
-        close = np.bitwise_count(fp[i] ^ fp[j]) <= MOST_BITS
+        close = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= MOST_BITS  # of signed numbers it would count the absolute value
         return fp[i[close]], fp[j[close]]
     _, word = np.unique(neighbour_words(fp), return_inverse=True)
     word = word.reshape(len(fp), -1)
