@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     while name.lower() in {c.lower() for c in docs.columns}:
         name = f"_{name}"
     return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def sample_to_driver(sample: DataFrame, *lists: str) -> tuple[list[np.ndarray], ...]:
+    """The list columns and y of a bounded sample(_id, lists..., y) in order of _id, as numpy arrays without Python objects.
+
+    A document with both labels says nothing and is left out.
+    """
+    table = sample.toArrow().sort_by("_id").combine_chunks()
+    ids = table["_id"].to_pylist()
+    alone = [i for i, x in enumerate(ids) if (i == 0 or ids[i - 1] != x) and (i + 1 == len(ids) or ids[i + 1] != x)]
+    out = []
+    for name in lists:
+        column = pa.concat_arrays(table[name].chunks) if table[name].num_chunks else pa.array([], table[name].type)
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        out.append([values[offsets[i] : offsets[i + 1]] for i in alone])
+    y = table["y"].to_numpy()
+    return *out, y[np.array(alone, np.int64)]

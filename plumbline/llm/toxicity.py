@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, learning_rows, read
+from plumbline.llm.common import held_out, learning_rows, read, sample_to_driver
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Hashed terms, and the length of the word beginnings that are terms too.
@@ -128,9 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Factor
     toxic = learning_rows(docs, labels.where("toxic = 1"), "toxic", limit // 2)
     clean = learning_rows(docs, labels.where("toxic = 0"), "toxic", limit - limit // 2)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = toxic.union(clean).mapInArrow(run, f"_id {kind}, terms array<long>, y int").toPandas().sort_values("_id", kind="stable")
-    sample = sample.drop_duplicates("_id", keep=False)  # both labels: says nothing
-    return FactorizationMachine([np.asarray(t, np.int64) for t in sample["terms"]], sample["y"].to_numpy())
+    sample = toxic.union(clean).mapInArrow(run, f"_id {kind}, terms array<long>, y int")
+    return FactorizationMachine(*sample_to_driver(sample, "terms"))
 
 
 def toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
