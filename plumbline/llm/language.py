@@ -152,7 +152,8 @@ def labelled_text(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id")
     chosen = fold.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEARN_DOCS}")
     text = F.substring("text", 1, LEARN_CHARS).alias("text")  # of the learning sample only
-    rows = fold.select("doc_id", "lang", text).join(chosen, ["doc_id", "lang"]).orderBy("lang", "nth", "text").select("lang", "text").toPandas()
+    rows = fold.select("doc_id", "lang", text).join(F.broadcast(chosen), ["doc_id", "lang"])  # LEARN_DOCS ids a language
+    rows = rows.orderBy("lang", "nth", "text").select("lang", "text").toPandas()
     most = min(LEARN_CHARS, ALL_CHARS // max(1, rows["lang"].nunique()))
     found = []
     for lang, part in rows.groupby("lang", sort=True):
