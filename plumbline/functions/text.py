@@ -113,9 +113,15 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
 
 def char_ngrams(tokens: Column, low: int, high: int) -> Column:
     """Character n-grams of each token padded with a space on both sides; a shorter token gives itself once."""
+    none = F.array().cast("array<string>")
+
+    def of_size(w: Column, n: int) -> Column:
+        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array(w) if n == low else none)
+
     def of(w: Column) -> Column:
-        w = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.flatten(F.array(*[F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array(w) if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]))
+        padded = F.concat(F.lit(" "), w, F.lit(" "))
+        return F.flatten(F.array(*[of_size(padded, n) for n in range(low, high + 1)]))
+
     return F.flatten(F.transform(tokens, of))
 
 
