@@ -102,6 +102,12 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(fold(x), F.lit("[a-z][a-z0-9]+"), F.lit(0))
 
 
+def code_tokens(x: Column) -> Column:
+    """Folded words that may hold the marks of names of programs and files, without such marks at the end, of two or more characters."""
+    found = F.regexp_extract_all(fold(x), F.lit("[a-z0-9][a-z0-9_+.#/-]*"), F.lit(0))
+    return F.filter(F.transform(found, lambda w: F.regexp_replace(w, "[._/-]+$", "")), lambda w: F.length(w) > 1)
+
+
 def ngrams(tokens: Column, n: int = 2) -> Column:
     """Neighbouring tokens joined by spaces. Shifted slices are zipped, so that tokens is not evaluated per element."""
     size = F.size(tokens) - (n - 1)

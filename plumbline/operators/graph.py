@@ -86,3 +86,23 @@ def triangles(edges: DataFrame) -> DataFrame:
 def strongest_neighbours(edges: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
     return both_ways(edges).withColumn("place", place).where(F.col("place") <= k)
+
+
+def compact_labels(labels: DataFrame) -> DataFrame:
+    """labels(node, label) as (label, n, name): c0, c1 ... by size, then label. One row a label reaches the window."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "label")) - 1
+    return sizes.select("label", "n", F.concat(F.lit("c"), place.cast("string")).alias("name"))
+
+
+def transitive_closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """edges(node, needs) with all that each node reaches. Paths double in length each round; checkpoints cut the lineage."""
+    found, size = edges.select("node", "needs").distinct().checkpoint(), -1
+    for _ in range(rounds):
+        now = found.count()
+        if now == size:
+            return found
+        size = now
+        on = found.select(F.col("node").alias("needs"), F.col("needs").alias("further"))
+        found = found.union(found.join(on, "needs").select("node", F.col("further").alias("needs"))).distinct().checkpoint()
+    raise ValueError(f"no closure within {rounds} rounds")

@@ -100,3 +100,10 @@ def prune_edges(edges: DataFrame, least: float, k: int) -> DataFrame:
     ends = strong.select(F.explode(F.array("a", "b")).alias("e"), "a", "b", "similarity")
     place = F.row_number().over(Window.partitionBy("e").orderBy(F.col("similarity").desc(), "a", "b"))
     return ends.withColumn("place", place).where(F.col("place") <= k).select("a", "b", "similarity").distinct()
+
+
+def gazetteer(docs: DataFrame, by: str, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """(by, skill, mentions) of the patterns found in a folded text: one pass over the texts, one expression a pattern."""
+    counts = F.array(*[F.struct(F.lit(name).alias("skill"), F.regexp_count("folded", F.lit(p)).cast("long").alias("mentions")) for name, p in patterns.items()])
+    found = docs.select(by, text.alias("folded")).select(by, F.explode(counts).alias("m"))
+    return found.select(by, "m.*").where("mentions > 0")
