@@ -26,9 +26,9 @@ def _(t):
     return t("documents").where(F.contains(folded, F.lit("informacion")) | F.contains(folded, F.lit("tres"))).select("doc_id")
 
 
-@query("F05_alnum_contains", rf"SELECT doc_id FROM documents WHERE contains(regexp_replace({PLAIN}, '[^\p{{L}}\p{{N}}]', '', 'g'), 'thelicense')")
+@query("F05_alnum_contains", rf"SELECT doc_id FROM documents WHERE contains(regexp_replace({PLAIN}, '[^\p{{L}}\p{{N}}]', '', 'g'), 'thethe')")
 def _(t):
-    return t("documents").where(F.contains(T.identity_fold(F.col("text")), F.lit("thelicense"))).select("doc_id")
+    return t("documents").where(F.contains(T.identity_fold(F.col("text")), F.lit("thethe"))).select("doc_id")
 
 
 @query("F09_threshold_after_scoring", "SELECT * FROM (SELECT s_suppkey, round((rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 6) AS percentile FROM supplier) WHERE percentile >= 80")
@@ -58,10 +58,10 @@ def _(t):
     return t("orders").select("o_orderkey", F.round(F.col("o_totalprice").cast(MONEY), 1).cast("double").alias("price"))
 
 
-@query("F15_haystack", "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_size >= 10 AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brass')")
+@query("F15_haystack", "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_size >= 10 AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'bolt')")
 def _(t):
     hay = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
-    return t("part").where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13") & (F.col("p_size") >= 10) & F.contains(hay, F.lit("brass"))).select("p_partkey")
+    return t("part").where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3") & (F.col("p_size") >= 10) & F.contains(hay, F.lit("bolt"))).select("p_partkey")
 
 
 @query("F16_people", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 AND contains(lower(c_name), '1')")
