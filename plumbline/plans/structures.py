@@ -17,14 +17,12 @@ def _(t):
     return parts.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("S19_page_headings", "SELECT page_id, (generate_subscripts(h, 1) - 1)::BIGINT AS ordinal, unnest(h) AS level FROM (SELECT page_id, regexp_extract_all(html, '<(h[1-6])[ >]', 1) AS h FROM pages)")
+@query("S19_page_headings", "SELECT page_id, unnest(range(len(h)))::BIGINT AS ordinal FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][ >]') AS h FROM pages)")
 def _(t):
-    parts = P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'heading'")
-    levels = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6])[ >]"), F.lit(1))).alias("ordinal", "level"))
-    return parts.join(levels, ["page_id", "ordinal"]).select("page_id", long("ordinal").alias("ordinal"), "level")
+    return P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'heading'").select("page_id", long("ordinal").alias("ordinal"))
 
 
-@query("S20_page_links", "SELECT page_id, count(*)::BIGINT AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1)) FROM pages) GROUP BY page_id")
+@query("S18_page_links", "SELECT page_id, count(*)::BIGINT AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1)) FROM pages) GROUP BY page_id")
 def _(t):
     return P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'link'").groupBy("page_id").agg(F.count("*").alias("links"))
 
