@@ -282,9 +282,11 @@ def _(t):
     return G.cheapest_paths(edges(t), 1, 3).select("node", F.round("cost", 8).alias("cost"))
 
 
-@query("N22_second_wave", f"WITH {EDGES} SELECT dst AS node, count(DISTINCT src)::BIGINT AS via FROM u WHERE src % 10 = 0 AND dst % 10 <> 0 GROUP BY dst")
+@query("N22_second_wave", f"WITH {EDGES} SELECT dst AS node, count(DISTINCT src)::BIGINT AS via FROM u WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000) AND dst NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000) GROUP BY dst")
 def _(t):
-    return G.both_ways(edges(t)).where("src % 10 = 0 AND dst % 10 <> 0").groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("via"))
+    known = t("supplier").where("s_acctbal > 4000")
+    met = G.both_ways(edges(t)).join(known.select(F.col("s_suppkey").alias("src")), "src", "left_semi").join(known.select(F.col("s_suppkey").alias("dst")), "dst", "left_anti")
+    return met.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("via"))
 
 
 @query(
