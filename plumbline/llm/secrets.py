@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -25,8 +27,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 LEAST, NEAR = 16, 48
 #: Characters on each side that prime the compressor, beside the identifiers.
 AROUND = 1024
-#: Marginal compressed bytes per character from which a candidate is news.
-NOVELTY = 0.8
+#: A candidate is news from this share of a byte per character, or of the bytes of the cheapest of ORDERS copies in random order, which nothing foretells.
+NOVELTY, ORDERS = 0.8, 8
+#: It must also hold so much of what its kinds of characters can say (so that runs are none), and so many bytes.
+EVEN, LEAST_BYTES = 0.9, NOVELTY * LEAST
 #: Names and values that code repeats; they prime the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey credential private_key access_key authorization bearer username config settings default "
@@ -61,6 +65,20 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(compress((tail + candidate).encode("utf-8", "surrogatepass"))) - len(compress(tail.encode("utf-8", "surrogatepass")))
 
 
+def is_news(candidate: str, before: str, after: str) -> bool:
+    """Whether the candidate costs about what its characters cost in random order, at any length.
+
+    Long strings of few kinds of characters cost less than a byte each, however random: 0.5 in hex, 0.75 in base64.
+    """
+    n, cost = len(candidate), marginal_bytes(candidate, before, after)
+    if cost >= NOVELTY * n:
+        return True
+    if cost < max(LEAST_BYTES, EVEN * n * log2(len(set(candidate))) / 8):
+        return False
+    rng = random.Random(n)
+    return cost >= NOVELTY * min(marginal_bytes("".join(rng.sample(candidate, n)), before, after) for _ in range(ORDERS))
+
+
 def is_mixed(s: str) -> bool:
     """Of two kinds of characters at least, a digit among them: words are not candidates."""
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
@@ -80,7 +98,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             if end - start < LEAST or start <= done or not is_mixed(c[0]) or any(a < end and start < b for a, _, b in base):
                 continue
             done = start
-            if marginal_bytes(c[0], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * (end - start):
+            if is_news(c[0], text[max(0, start - AROUND) : start], text[end : end + AROUND]):
                 found.append((start, 3, end))
     return found
 

@@ -76,6 +76,16 @@ def test_secrets(spark):
     assert out.count() == len(ODD) + 2 and out.where("spans <> ''").count() == 0
 
 
+@pytest.mark.parametrize("alphabet, size", [("0123456789ABCDEF", 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 200), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2000)])
+def test_long_random_secrets(alphabet, size):
+    rng = random.Random(size)
+    for _ in range(40):
+        key = "".join(rng.choice(alphabet) for _ in range(size))
+        text = f"Send the header Authorization: Bearer {key} and go on"
+        assert [text[a:b] for a, k, b in secrets.scan(text)[1] if k == 3] == [key]
+    assert not secrets.scan("auth value 1" + "x" * size)[1] and not secrets.scan("auth value " + "0123456789A" * (size // 11))[1]
+
+
 def brute_phrases(piece: bytes, source: bytes) -> int:
     found = i = 0
     while i < len(piece):
