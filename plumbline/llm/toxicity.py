@@ -20,10 +20,10 @@ SPACE = 1 << 20
 STEM = 5
 #: At most so many labelled documents are learnt from, half of each label where there are enough.
 LEARN_ROWS = 8_000
-#: Terms enter the model if their presence differs between labels by so many standard errors, in so many documents.
-LEAST_Z, LEAST_DOCS = 8.0, 3
-#: Weights start at this share of a term's log odds ratio; factors start near zero.
-START = 0.3
+#: Terms of so many documents have parameters, whatever their effect.
+LEAST_DOCS = 3
+#: Squared gradients that each parameter starts with, so that a rare term moves little.
+HELD_BACK = 3.0
 FACTORS, EPOCHS, RATE, DECAY, SEED = 8, 40, 0.1, 1e-5, 7
 #: A document whose probability errs by less changes nothing, so that hard ones count.
 SETTLED = 0.02
@@ -46,8 +46,9 @@ def terms(text: str) -> np.ndarray:
 class FactorizationMachine:
     """bias + sum of weights + sum over pairs of inner products, of the terms present, through a logistic link.
 
-    Only terms that differ between labels in the learning rows have parameters; any other term adds nothing, so
-    long texts do not gather noise.
+    Every term of LEAST_DOCS learning rows has a weight and factors, so that pairs without an effect of their own count.
+    Weights start at the log odds ratio, shrunk by what chance gives the largest of so many terms; factors start near zero.
+    A document's step is shared among its terms, so that long texts do not gather noise.
     """
 
     def __init__(self, docs: list[np.ndarray], y: np.ndarray):
@@ -60,14 +61,16 @@ class FactorizationMachine:
         a, b = dp / max(p, 1), (df - dp) / max(n - p, 1)
         pooled = df / n
         z = np.abs(a - b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / max(p, 1) + 1 / max(n - p, 1)))
-        self.term = np.flatnonzero((df >= LEAST_DOCS) & (z >= LEAST_Z))
+        self.term = np.flatnonzero(df >= LEAST_DOCS)
+        chance = 2 * np.log(max(len(self.term), 2))
         odds = np.log((dp + 0.5) / (p + 1)) - np.log((df - dp + 0.5) / (n - p + 1))
-        self.weight, self.factor = START * odds[self.term], rng.normal(0, 0.01, (len(self.term), FACTORS))
+        kept = np.maximum(0, 1 - chance / np.maximum(z[self.term] ** 2, 1e-12))
+        self.weight, self.factor = kept * odds[self.term], rng.normal(0, 0.01, (len(self.term), FACTORS))
         self.bias = float(np.log((p + 1) / (n - p + 1)))
         slot = np.full(SPACE, -1)
         slot[self.term] = np.arange(len(self.term))
         active = [s[s >= 0] for s in (slot[d] for d in docs)]
-        gw, gv, gb = np.full(len(self.term), 1e-6), np.full(self.factor.shape, 1e-6), 1e-6
+        gw, gv, gb = np.full(len(self.term), HELD_BACK), np.full(self.factor.shape, HELD_BACK), 1e-6
         for _ in range(EPOCHS):
             for i in rng.permutation(len(docs)):
                 x = active[i]
@@ -78,7 +81,8 @@ class FactorizationMachine:
                     continue
                 gb += g * g
                 self.bias -= RATE * g / np.sqrt(gb)
-                dw, dv = g + DECAY * self.weight[x], g * (total - v) + DECAY * v
+                own = g / max(len(x), 1) ** 0.5
+                dw, dv = own + DECAY * self.weight[x], own * (total - v) + DECAY * v
                 gw[x] += dw * dw
                 gv[x] += dv * dv
                 self.weight[x] -= RATE * dw / np.sqrt(gw[x])

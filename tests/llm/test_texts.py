@@ -134,6 +134,30 @@ def test_classifiers_held_out(spark, module, label, least):
     assert apply(odd_documents(spark), empty).count() == len(ODD) + 2
 
 
+def fitted(texts, y):
+    model = toxicity.FactorizationMachine([toxicity.terms(t) for t in texts], np.array(y))
+    scorer = toxicity.Scorer(model)
+    return lambda found: np.array([scorer.score(t) for t in found])
+
+
+def test_toxicity_of_pairs_without_own_effect():
+    rng = random.Random(3)
+    texts, y = [], []
+    for i in range(800):
+        a, b = i & 1, i >> 1 & 1
+        texts.append(" ".join([*(["gruppe"] * a), *(["lobend"] * b), *(rng.choice("abcdefghijklmnopqrst") * 3 for _ in range(5))]))
+        y.append(int(a == b))
+    assert ((fitted(texts[:600], y[:600])(texts[600:]) >= 0.5) == np.array(y[600:])).mean() > 0.9
+
+
+def test_toxicity_learns_from_few_labels():
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice("abcdefghijklmnopqrst") * 3 for _ in range(20))
+    texts = [plain() + " moron" * (i < 6) for i in range(52)]
+    score = fitted(texts, [int(i < 6) for i in range(52)])
+    assert score([plain() + " moron" for _ in range(20)]).min() > score([plain() for _ in range(20)]).max()
+
+
 def test_fold(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").withColumn("h", held_out(F.col("doc_id")))
     assert all(r.h == (r.doc_id is not None and crc32(str(r.doc_id).encode()) % 3 == 1) for r in df.collect())
