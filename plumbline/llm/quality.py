@@ -21,16 +21,27 @@ DIM, EPOCHS, RATE, SEED = 12, 12, 0.3, 5
 #: At most so many labelled documents are learnt from, half of each label where there are enough.
 LEARN_ROWS = 4_000
 THRESHOLD = 0.5
-#: A task forgets its distinct words beyond so many; longer words than LONG give their grams in steps, so that all of a word counts.
-KEPT_WORDS, LONG = 300_000, 200
+#: A task forgets its distinct words beyond so many. Words longer than LONG are not remembered; their grams are counted in chunks.
+KEPT_WORDS, LONG, CHUNK = 300_000, 200, 1 << 16
 
 
-def features_of_word(word: str) -> list[int]:
-    """Hashed features: the word in brackets and its character n-grams; case and punctuation stay."""
+def features_of_word(word: str) -> dict[int, int]:
+    """Hashed features and how often each is there: the word in brackets and its character n-grams; case and punctuation stay."""
     raw = f"<{word}>"
-    step = max(1, len(raw) // LONG)
-    grams = [raw[i : i + GRAM] for i in range(0, len(raw) - GRAM + 1, step)]
-    return [crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (raw, *grams)]
+    count: dict[int, int] = {}
+    if len(word) <= LONG:
+        for g in (raw, *(raw[i : i + GRAM] for i in range(len(raw) - GRAM + 1))):
+            f = crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS
+            count[f] = count.get(f, 0) + 1
+        return count
+    count[crc32(raw.encode("utf-8", "surrogatepass")) % BUCKETS] = 1
+    for k in range(0, len(raw) - GRAM + 1, CHUNK):
+        code = np.frombuffer(raw[k : k + CHUNK + GRAM - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        gram, n = np.unique(sum(code[i : len(code) - GRAM + 1 + i] << 21 * i for i in range(GRAM)), return_counts=True)
+        for g, m in zip(gram.tolist(), n.tolist(), strict=True):
+            f = crc32("".join(chr(g >> 21 * i & 0x1FFFFF) for i in range(GRAM)).encode("utf-8", "surrogatepass")) % BUCKETS
+            count[f] = count.get(f, 0) + m
+    return count
 
 
 def repeats(words: list[str]) -> int:
@@ -42,8 +53,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     count: Counter[int] = Counter()
     for word, n in Counter(words).items():
-        for f in features_of_word(word):
-            count[f] += n
+        for f, m in features_of_word(word).items():
+            count[f] += n * m
     if n := repeats(words):
         count[REPEAT] += n * GRAM
     ids = np.array(sorted(count), np.int64)
@@ -97,20 +108,29 @@ class Scorer:
     def score(self, text: str) -> float:
         if len(self.number) > KEPT_WORDS:
             self.forget()
-        words = text.split()
+        every = text.split()
+        words = [w for w in every if len(w) <= LONG]
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if len(self.number) > self.known:
             new = list(dict.fromkeys(w for w, i in zip(words, at.tolist(), strict=True) if i >= self.known))
             found = [features_of_word(w) for w in new]
-            sizes = np.array([len(f) for f in found])
-            sums = np.add.reduceat(self.model.worth[np.concatenate([np.array(f) for f in found])].astype(float), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            starts = np.cumsum([0, *map(len, found)])[:-1]
+            times = np.array([m for f in found for m in f.values()])
+            sums = np.add.reduceat(self.model.worth[np.array([i for f in found for i in f])].astype(float) * times, starts)
+            sizes = np.add.reduceat(times, starts)
             while len(self.number) > len(self.worth):
                 self.worth, self.many = (np.concatenate((x, np.zeros(len(x)))) for x in (self.worth, self.many))
             self.worth[self.known : self.known + len(new)], self.many[self.known : self.known + len(new)] = sums, sizes
             self.known += len(new)
-        same = int((at[1:] == at[:-1]).sum()) * GRAM
-        total = self.many[at].sum() + same
-        logit = self.model.bias + ((self.worth[at].sum() + same * float(self.model.worth[REPEAT])) / total if total else 0.0)
+        worth, many = self.worth[at].sum(), self.many[at].sum()
+        if len(every) > len(words):
+            for word, n in Counter(w for w in every if len(w) > LONG).items():
+                f = features_of_word(word)
+                times = n * np.fromiter(f.values(), np.int64, len(f))
+                worth, many = worth + self.model.worth[np.fromiter(f, np.int64, len(f))].astype(float) @ times, many + times.sum()
+        same = (repeats(every) if len(every) > len(words) else int((at[1:] == at[:-1]).sum())) * GRAM
+        total = many + same
+        logit = self.model.bias + ((worth + same * float(self.model.worth[REPEAT])) / total if total else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 

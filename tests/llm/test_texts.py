@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -166,3 +167,18 @@ def test_fold(spark):
 def test_word_features_cover_long_words():
     assert len(quality.features_of_word("x" * 50_000)) < 500
     assert quality.features("")[0].size == 0
+
+
+def test_every_gram_of_long_words_counts():
+    rng = random.Random(6)
+    for size in (198, 201, 400, 3_000, 140_000):
+        word = "".join(rng.choice("中文字学生日本語🙂ab;{}") for _ in range(size))
+        raw = f"<{word}>"
+        want = Counter(crc32(g.encode()) % quality.BUCKETS for g in (raw, *(raw[i : i + 3] for i in range(size))))
+        assert quality.features_of_word(word) == want
+        text = f"ab {word} {word} ab"
+        ids, share = quality.features(text)
+        model = quality.SubwordClassifier([(ids, share), quality.features("zz yy")], np.array([1, 0]))
+        scorer = quality.Scorer(model)
+        assert math.isclose(scorer.score(text), 1 / (1 + math.exp(-(model.bias + model.worth[ids].astype(float) @ share))), rel_tol=1e-9)
+        assert max(map(len, scorer.number)) <= quality.LONG
