@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,13 +14,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe import spans
 from plumbline.llm.common import held_out, read
 
-#: Labelled text learnt from: at most so many documents of a language, so many of their characters, and so
-#: many characters of all languages together. That bounds the automata.
-LEARN_DOCS, LEARN_CHARS, ALL_CHARS = 60, 24_000, 240_000
-#: Letters that the automata tell apart, the most frequent in the labelled text.
-LETTERS = 120
-#: Characters of a piece; pieces are parsed side by side and a phrase ends with its piece.
-PIECE = 256
+#: Learnt from at most so many labelled documents of a language, whole texts, whose lengths add up to so many characters.
+LEARN_DOCS, LEARN_CHARS = 40, 100_000
+#: Bits of a symbol: code points have 21.
+SYMBOL = 21
+#: Bytes of text that a task parses side by side.
+TOGETHER = 8 << 20
 SHARPNESS = 8.0
 
 
@@ -35,8 +33,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings of codes; state 0 is the start, and 0 also says none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions by symbol of each state of the automaton of all substrings of codes; state 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in codes:
@@ -62,11 +60,42 @@ def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    table = np.zeros((len(step), symbols), np.int32)
-    for state, to in enumerate(step):
-        for c, t in to.items():
-            table[state, c] = t
-    return table
+    return step
+
+
+class Transitions:
+    """A hash table of (state, symbol) to state for whole arrays: as large as the transitions, whatever the alphabet."""
+
+    def __init__(self, keys: np.ndarray, states: np.ndarray):
+        bits = max(4, int(len(keys) * 3).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.states = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, todo = self.first(keys), np.arange(len(keys))
+        while len(todo):
+            slot = at[todo]
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[todo[free]]
+            mine = self.keys[slot] == keys[todo]
+            self.states[slot[mine]] = states[todo[mine]]
+            todo = todo[~mine]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The state behind each key, -1 where there is none."""
+        at = self.first(keys)
+        there = self.keys[at]
+        found = np.where(there == keys, self.states[at], -1).astype(np.int64)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            found[open_[hit]] = self.states[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return found
 
 
 class CrossParser:
@@ -75,70 +104,72 @@ class CrossParser:
     A text is cut, from left to right, into the longest matches with a language's labelled text; a character that
     it doesn't hold is a phrase of its own. A phrase costs the logarithm of the labelled text's length, so the
     cost per character estimates the cross entropy. The language of the fewest bits wins, the first by name if equal.
+    Symbols are the code points of lower-case letters; a run of anything else is symbol 0.
     """
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.langs = sorted(lang for lang, _ in texts)
-        count = Counter(c for _, t in texts for c in t.lower() if c.isalpha())
-        known = sorted(sorted(count), key=lambda c: -count[c])[:LETTERS]
-        self.symbols = len(known) + 3  # 0 is what is not a letter, then letters, unknown ones, padding
-        self.unknown, self.padding = len(known) + 1, len(known) + 2
-        self.code = np.where(letters(), self.unknown, 0).astype(np.uint8)
-        for i, c in enumerate(known):
-            self.code[ord(c)] = i + 1
-        self.tables, self.bits = [], []
+        keys, states, starts, bits, base = [], [], [], [], 0
         for _, text in sorted(texts):
-            codes = self.codes(text)
-            codes = codes[codes != self.unknown].tolist()
-            self.tables.append(suffix_automaton(codes, self.symbols).ravel())
-            self.bits.append(math.log2(len(codes) + 2))
-
-    def codes(self, text: str) -> np.ndarray:
+            codes = self.codes(text).tolist()
+            step = suffix_automaton(codes)
+            many = np.fromiter(map(len, step), np.int64, len(step))
+            symbols = np.fromiter((c for to in step for c in to), np.int64, int(many.sum()))
+            states.append(np.fromiter((t for to in step for t in to.values()), np.int64, len(symbols)) + base)
+            keys.append((np.repeat(np.arange(len(step)), many) + base) << SYMBOL | symbols)
+            starts.append(base)
+            bits.append(math.log2(len(codes) + 2))
+            base += len(step)
+        none = [np.zeros(0, np.int64)]
+        self.table = Transitions(np.concatenate(keys + none), np.concatenate(states + none))
+        self.starts, self.bits = np.array(starts, np.int64), np.array(bits)
+
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
         """Symbols of a text; runs of what is not a letter become one."""
-        codes = self.code[code_points(text)]
+        codes = code_points(text)
+        codes = np.where(letters()[codes], codes, 0)
         if len(codes):
             keep = codes != 0
             keep[1:] |= codes[:-1] != 0
             codes = codes[keep]
         return codes
 
-    def phrases(self, pieces: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Phrases of each row of symbols."""
-        state, found = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        for column in np.ascontiguousarray(pieces.T):
-            to = table[state * self.symbols + column]
-            miss = to == 0
-            at = np.flatnonzero(miss)
-            symbol = column[at]
+    def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text with each language. All texts advance by a symbol at a time, the longest first, so that those still there are the first rows."""
+        sizes = np.array([len(c) for c in coded], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        flat = np.concatenate([*(coded[i] for i in order), np.zeros(0, np.int64)]).astype(np.int64)
+        long = sizes[order]
+        begin = np.cumsum(long) - long
+        state = np.tile(self.starts, (len(coded), 1))
+        found = np.zeros(state.shape, np.int64)
+        there = np.searchsorted(-long, -np.arange(int(long[0]) if len(long) else 0), side="left")  # texts longer than each place
+        width = len(self.starts)
+        for j, k in enumerate(there.tolist()):
+            symbol = np.repeat(flat[begin[:k] + j], width)
+            now, count = state[:k].reshape(-1), found[:k].reshape(-1)
+            to = self.table.find(now << SYMBOL | symbol)
+            at = np.flatnonzero(to < 0)
+            start = self.starts[at % width]
+            again = self.table.find(start << SYMBOL | symbol[at])
             # the phrase before ends, if there is one; a symbol without transition from the start is a phrase itself
-            begin = table[symbol]
-            inside = symbol != self.padding
-            found[at] += inside & (state[at] != 0)
-            found[at] += inside & (begin == 0)
-            found[at] += ~inside & (state[at] != 0)
-            to[at] = np.where(inside, begin, 0)
-            state = to.astype(np.int64)
-        return found + (state != 0)
+            count[at] += (now[at] != start).astype(np.int64) + (again < 0)
+            to[at] = np.where(again < 0, start, again)
+            state[:k] = to.reshape(k, width)
+        out = np.zeros(state.shape, np.int64)
+        out[order] = found + (state != self.starts)
+        return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        coded = [self.codes(t) for t in texts]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        rows = -(-sizes // PIECE)
-        pieces = np.full((int(rows.sum()), PIECE), self.padding, np.uint8)
-        begin = np.concatenate(([0], np.cumsum(rows)))
-        for c, b, e in zip(coded, begin, begin[1:], strict=False):
-            pieces[b:e].reshape(-1)[: len(c)] = c
-        spoken = np.array([bool((c != 0).any()) for c in coded], bool)
-        if not self.langs:
+        if not self.langs or not texts:
             return [("und", 0.0)] * len(texts)
-        cost = np.empty((len(texts), len(self.langs)))
-        for k, (table, bits) in enumerate(zip(self.tables, self.bits, strict=True)):
-            total = np.concatenate(([0], np.cumsum(self.phrases(pieces, table))))
-            cost[:, k] = (total[begin[1:]] - total[begin[:-1]]) * bits / np.maximum(sizes, 1)
+        coded = [self.codes(t) for t in texts]
+        cost = self.phrases(coded) * self.bits / np.array([max(1, len(c)) for c in coded])[:, None]
         best = cost.argmin(1)
         share = np.exp2(-SHARPNESS * (cost - cost.min(1, keepdims=True)))
         score = share[np.arange(len(texts)), best] / share.sum(1)
-        return [(self.langs[b], float(s)) if ok else ("und", 0.0) for b, s, ok in zip(best, score, spoken, strict=True)]
+        return [(self.langs[b], float(s)) if c.any() else ("und", 0.0) for b, s, c in zip(best, score, coded, strict=True)]
 
 
 @cache
@@ -147,17 +178,26 @@ def parser_of(texts: tuple[tuple[str, str], ...]) -> CrossParser:
 
 
 def labelled_text(docs: DataFrame) -> tuple[tuple[str, str], ...]:
-    """(lang, text) pairs: a bounded sample of each language's text outside the held-out fold, spread by a hash of the id."""
+    """(lang, text) pairs: a sample of whole texts of each language outside the held-out fold, in the order of a hash of the id.
+
+    At most LEARN_DOCS documents of a language; one with which their lengths would pass LEARN_CHARS is passed over, unless it is
+    the only one. Ids are ranked after a threshold on the hash that leaves about two times as many, so that no task ranks all of
+    a language. Of several texts of an id the first by code point counts.
+    """
     fold = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    rates = fold.groupBy("lang").agg(((2 * LEARN_DOCS + 40) / F.count("*")).alias("rate"))
+    near = fold.join(rates, "lang").where(place < F.col("rate")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id")
-    chosen = fold.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEARN_DOCS}")
-    text = F.substring("text", 1, LEARN_CHARS).alias("text")  # of the learning sample only
-    rows = fold.select("doc_id", "lang", text).join(F.broadcast(chosen), ["doc_id", "lang"])  # LEARN_DOCS ids a language
-    rows = rows.orderBy("lang", "nth", "text").select("lang", "text").toPandas()
-    most = min(LEARN_CHARS, ALL_CHARS // max(1, rows["lang"].nunique()))
+    rows = near.withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEARN_DOCS}").orderBy("lang", "nth").select("lang", "text").toPandas()
     found = []
     for lang, part in rows.groupby("lang", sort=True):
-        found.append((lang, "\n".join(part["text"])[:most]))
+        kept, total = [], 0
+        for text in part["text"]:
+            if total + len(text) <= LEARN_CHARS:
+                kept.append(text)
+                total += len(text)
+        found.append((lang, "\n".join(kept or part["text"][:1])))
     return tuple(found)
 
 
@@ -165,14 +205,15 @@ def languages(docs: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs(doc_id, text).
 
     lang_pred is `und` with score 0 for null texts, texts without a letter, and if nothing was learnt. Repeated
-    rows are predicted alike; other columns are ignored. No shuffle; whole texts are parsed.
+    rows are predicted alike; other columns are ignored; an empty table gives an empty one. No shuffle; whole texts are parsed,
+    and time and memory are in proportion to their length.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(texts)  # ALL_CHARS characters at most
+    shared = docs.sparkSession.sparkContext.broadcast(texts)  # LEARN_CHARS characters a language, or one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(shared.value)
         for batch in batches:
-            for begin, end in spans(batch.column(1), 4 << 20):
+            for begin, end in spans(batch.column(1), TOGETHER):
                 part = batch.slice(begin, end - begin)
                 found = parser.predict([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -87,11 +87,12 @@ def test_long_random_secrets(alphabet, size):
     assert not secrets.scan("auth value 1" + "x" * size)[1] and not secrets.scan("auth value " + "0123456789A" * (size // 11))[1]
 
 
-def brute_phrases(piece: bytes, source: bytes) -> int:
+def brute_phrases(codes: list[int], source: list[int]) -> int:
+    text, learnt = "".join(map(chr, codes)), "".join(map(chr, source))
     found = i = 0
-    while i < len(piece):
+    while i < len(text):
         j = i + 1
-        while j <= len(piece) and piece[i:j] in source:
+        while j <= len(text) and text[i:j] in learnt:
             j += 1
         i, found = max(i + 1, j - 1), found + 1
     return found
@@ -99,18 +100,25 @@ def brute_phrases(piece: bytes, source: bytes) -> int:
 
 def test_cross_parsing_equals_brute_force():
     rng = random.Random(2)
-    parser = language.CrossParser((("aa", "ana banana bandana " * 20), ("bb", "".join(rng.choice("abcd ") for _ in range(900)))))
-    texts = ["".join(rng.choice("abcnd z.") for _ in range(n)) for n in (1, 5, 255, 256, 257, 700)] + ["banana banana", "zzz"]
-    for text in texts:
-        codes = parser.codes(text)
-        for k, learnt in enumerate(("ana banana bandana " * 20,)):
-            source = bytes(parser.codes(learnt).tolist())
-            rows = -(-len(codes) // language.PIECE)
-            pieces = np.full((rows, language.PIECE), parser.padding, np.uint8)
-            pieces.reshape(-1)[: len(codes)] = codes
-            want = sum(brute_phrases(bytes(codes[i : i + language.PIECE].tolist()), source) for i in range(0, len(codes), language.PIECE))
-            assert parser.phrases(pieces, parser.tables[k]).sum() == want
-    assert [p[0] for p in parser.predict(["banana", "", "123 ...", "dcdcdbcd"])] == ["aa", "und", "und", "bb"]
+    kanji = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2500))
+    learnt = ("ana banana bandana " * 20, "".join(rng.choice("abcd ") for _ in range(900)), kanji)
+    parser = language.CrossParser((("aa", learnt[0]), ("bb", learnt[1]), ("zh", learnt[2])))
+    texts = ["".join(rng.choice("abcnd z.") for _ in range(n)) for n in (1, 5, 255, 256, 257, 700, 100_000)] + ["banana banana", "zzz", "", kanji[900:1000] + "x" + kanji[5:900:3]]
+    coded = [parser.codes(t) for t in texts]
+    for codes, found in zip(coded, parser.phrases(coded), strict=True):
+        assert found.tolist() == [brute_phrases(codes.tolist(), parser.codes(t).tolist()) for t in learnt]
+    assert [p[0] for p in parser.predict(["banana", "", "123 ...", "dcdcdbcd", kanji[70:75]])] == ["aa", "und", "und", "bb", "zh"]
+    assert parser.predict([]) == []
+    tied = language.CrossParser((("b", "same text"), ("a", "same text")))
+    assert tied.predict(["some text"]) == [("a", 0.5)]
+
+
+def test_labelled_text_is_whole_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEARN_CHARS", 50)
+    rows = [(i, "x" * 30 if i % 2 else "y" * 15, "en" if i < 60 else "fr", "s") for i in range(120)] + [(None, "no", "en", "s"), (500, None, "en", "s"), (501, "q" * 99, "it", "s"), (504, "ab", None, "s")]
+    found = dict(language.labelled_text(spark.createDataFrame(rows, "doc_id long, text string, lang string, nth string")))
+    assert set(found) - {"it"} == {"en", "fr"} and all(set(part) in ({"x"}, {"y"}) and len(part) in (15, 30) for k in ("en", "fr") for part in found[k].split("\n"))
+    assert language.labelled_text(spark.createDataFrame([], "doc_id long, text string, lang string")) == ()
 
 
 def test_language_held_out(spark):
