@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -79,27 +81,41 @@ def is_news(candidate: str, before: str, after: str) -> bool:
     return cost >= NOVELTY * min(marginal_bytes("".join(rng.sample(candidate, n)), before, after) for _ in range(ORDERS))
 
 
-def is_mixed(s: str) -> bool:
-    """Of two kinds of characters at least, a digit among them: words are not candidates."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+def runs_of(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, mixed until) of the text's runs of a candidate's characters; what begins before the last holds a letter and a digit: words are no candidates."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() >= LEAST:
+            start, run = m.start(), m[0]
+            letter = len(run.rstrip("0123456789+/_=-"))
+            digit = len(run.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"))
+            found.append((start, m.end(), start + min(letter, digit)))
+    return found
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of strings in sensitive places that neither their surroundings nor the identifiers foretell.
 
-    A string that a base span overlaps is not reported again.
+    A run of a candidate's characters is judged once: from its start, if a sensitive word ends up to NEAR characters before it, or from the
+    end of the first sensitive word in it. A string that a base span overlaps is not reported again. Sensitive words and
+    runs are walked side by side and base spans are bisected, so time is in proportion to the text.
     """
-    found, done = [], -1
-    for m in CONTEXT.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end()):
-            if c.start() > m.end() + NEAR:
-                break
-            start, end = c.span()
-            if end - start < LEAST or start <= done or not is_mixed(c[0]) or any(a < end and start < b for a, _, b in base):
-                continue
-            done = start
-            if is_news(c[0], text[max(0, start - AROUND) : start], text[end : end + AROUND]):
-                found.append((start, 3, end))
+    ends = [m.end() for m in CONTEXT.finditer(text)]
+    if not ends:
+        return []
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    found, k = [], 0
+    for begin, end, mixed in runs_of(text):
+        while k < len(ends) and ends[k] + NEAR < begin:
+            k += 1
+        if k == len(ends):
+            break
+        start = max(begin, ends[k])
+        before = bisect_left(starts, end)
+        if end - start < LEAST or start >= mixed or (before and reach[before - 1] > start):
+            continue
+        if is_news(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]):
+            found.append((start, 3, end))
     return found
 
 
@@ -117,7 +133,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans of every row of docs(doc_id, text).
 
     Spans are in code points, end exclusive, ordered by start, then kind. Null texts count as empty and
-    have no spans. Repeated rows are scanned alike; other columns are ignored. No shuffle.
+    have no spans. Repeated rows are scanned alike; other columns are ignored; an empty table gives an empty one. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -87,6 +88,40 @@ def test_long_random_secrets(alphabet, size):
     assert not secrets.scan("auth value 1" + "x" * size)[1] and not secrets.scan("auth value " + "0123456789A" * (size // 11))[1]
 
 
+def slow_novel(text, base):
+    found = []
+    for run in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        near = [m.end() for m in secrets.CONTEXT.finditer(text) if run.start() - secrets.NEAR <= m.end() <= run.end()]
+        if near:
+            start, end = max(run.start(), min(near)), run.end()
+            said = text[start:end]
+            mixed = any(c.isdigit() for c in said) and any(c.isalpha() for c in said)
+            if len(said) >= secrets.LEAST and mixed and not any(a < end and start < b for a, _, b in base) and secrets.is_news(said, text[max(0, start - secrets.AROUND) : start], text[end : end + secrets.AROUND]):
+                found.append((start, 3, end))
+    return found
+
+
+def test_novel_spans_equal_slow_version():
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    reported = 0
+    for _ in range(300):
+        parts = [rng.choice(["auth", "bearer", "token=", "password: ", "plain", "x" * 20, "1" * 20, "a1" * 15, key(20), key(40), key(15), " " * 30, "\n", "é"]) + rng.choice([" ", "", ": "]) for _ in range(14)]
+        text = "".join(parts)
+        base, every = secrets.scan(text)
+        assert sorted(base + slow_novel(text, base)) == every
+        reported += len(every) - len(base)
+    assert reported > 100
+
+
+@pytest.mark.parametrize("text", ["token" * 200_000, "token1" * 170_000, "token=abcdef1 " * 100_000, "auth 12345678901234567a " * 40_000])
+def test_long_texts_in_linear_time(text):
+    begin = time.monotonic()
+    secrets.scan(text)
+    assert time.monotonic() - begin < 10
+
+
 def brute_phrases(codes: list[int], source: list[int]) -> int:
     text, learnt = "".join(map(chr, codes)), "".join(map(chr, source))
     found = i = 0
