@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,32 +15,47 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests in local mode) a temporary folder is made and set.
+    Only where that is unset in local mode (tests) a temporary folder is made and set; on a cluster that would be a folder of one machine.
     """
     sc = spark.sparkContext
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     if (found := sc._jsc.sc().getCheckpointDir()).isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/plumbline/{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: cuts lineage, outlives executors. What discard() has not deleted goes when the driver ends."""
+    spark = df.sparkSession
+    run = f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        atexit.register(_delete, spark, run)
+    path = f"{run}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table
 
 
-def discard(table: DataFrame | None) -> None:
-    """Deletes a table made by written() that nothing will read again."""
-    if table is not None:
-        jvm, path = table.sparkSession._jvm, table.written_path
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+_RUNS: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # still running
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for table in tables:
+        if table is not None:
+            _delete(table.sparkSession, table.written_path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
