@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import read, written
+from plumbline.llm.common import discard, read, written
 from plumbline.llm.components import components
 
 COSINE = 0.9
@@ -37,37 +37,44 @@ def rows_as_matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.nda
     return values, offsets[:-1], np.diff(offsets)
 
 
+def planes_of(width: int, planes: int, tables: int) -> np.ndarray:
+    """The normals of all tables' planes for vectors of a width, one column each; the same everywhere, and those of fewer tables come first."""
+    return np.random.default_rng([SEED, width]).standard_normal((tables * planes, width)).T
+
+
+def buckets(x: np.ndarray, normals: np.ndarray, planes: int) -> np.ndarray:
+    """The bucket of each row of x in each table of the normals."""
+    side = (x @ normals > 0).reshape(len(x), -1, planes)
+    return side @ (1 << np.arange(planes, dtype=np.int64))
+
+
 def signed(vectors: DataFrame, planes: int, tables: int) -> DataFrame:
-    """vectors(node, members, v) with sigs, the bucket number in each table."""
+    """(node, d, sigs) of vectors(node, v): the vector's length and its bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(planes, dtype=np.int64)
         for batch in batches:
-            values, start, length = rows_as_matrix(batch.column(2))
+            values, start, length = rows_as_matrix(batch.column(1))
             sigs = np.zeros((batch.num_rows, tables), np.int64)
             for d in np.unique(length).tolist():
                 if d not in normals:
-                    normals[d] = np.random.default_rng([SEED, d]).standard_normal((d, tables * planes))
+                    normals[d] = planes_of(d, planes, tables)
                 at = np.flatnonzero(length == d)
-                side = values[start[at][:, None] + np.arange(d)] @ normals[d] > 0
-                sigs[at] = side.reshape(len(at), tables, planes) @ weights
+                sigs[at] = buckets(values[start[at][:, None] + np.arange(d)], normals[d], planes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, tables, dtype=np.int32)), pa.array(sigs.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["node", "members", "v", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length.astype(np.int32)), lists], names=["node", "d", "sigs"])
 
-    kind = vectors.schema["v"].dataType.simpleString()
-    return vectors.select("node", "members", "v").mapInArrow(run, f"node long, members long, v {kind}, sigs array<long>")
+    return vectors.select("node", "v").mapInArrow(run, "node long, d int, sigs array<long>")
 
 
-def compare_blocks(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Table:
+def compare_blocks(key: tuple, table: pa.Table, planes: int, cosine: float = COSINE) -> pa.Table:
     """Of one or two blocks of a bucket: node, links (members of the nodes linked with it that no earlier table
-    has met with it) and to (a node of its component within the group)."""
+    has met with it) and to (a node of its component within the group). Earlier tables' buckets are computed here, so that they need not travel."""
     number, block = key[0].as_py(), table["block"].to_numpy()
     column = table["v"].combine_chunks()
     values, start, length = rows_as_matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
     x = values[start[:, None] + np.arange(length[0])]
     norm = np.sqrt((x * x).sum(1))
-    sigs = np.array(table["sigs"].to_pylist(), np.int64).reshape(len(x), -1)
     node, members = table["node"].to_numpy(), table["members"].to_numpy()
     twin = key[3].as_py() != key[4].as_py()
     left, right = (np.flatnonzero(block == key[k].as_py()) for k in (3, 4))
@@ -85,15 +92,17 @@ def compare_blocks(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Ta
         if (now == label).all():
             break
         label = now
+    met = np.zeros(len(x), bool)
+    met[left[i]] = met[right[j]] = True
     new = np.ones(len(i), bool)
-    for t in range(number):
-        new &= sigs[left[i], t] != sigs[right[j], t]
+    if number and met.any():
+        sigs = np.zeros((len(x), number), np.int64)
+        sigs[met] = buckets(x[met], planes_of(x.shape[1], planes, number), planes)
+        new = (sigs[left[i]] != sigs[right[j]]).all(1)
     links = np.zeros(len(x), np.int64)
     np.add.at(links, left[i[new]], members[right[j[new]]])
     if twin:
         np.add.at(links, right[j[new]], members[left[i[new]]])
-    met = np.zeros(len(x), bool)
-    met[left[i]] = met[right[j]] = True
     return pa.table({"node": node[met], "links": links[met], "to": node[label[met]]})
 
 
@@ -111,14 +120,16 @@ def vector_groups(table: DataFrame) -> DataFrame:
     rows = table.select("vec_id", F.when(F.coalesce(good, F.lit(False)), F.col("embedding")).alias("v"))
     nodes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("members")).select(F.monotonically_increasing_id().alias("node"), "members", "v"))
     planes, tables = shape_of_tables(nodes.count())
-    spread = signed(nodes, planes, tables).select("*", F.size("v").alias("d"), F.posexplode("sigs").alias("table", "bucket"))
-    blocks = spread.groupBy("table", "d", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("table", "d", "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    spread = spread.join(blocks, ["table", "d", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sigs = written(signed(nodes, planes, tables))
+    met = sigs.select("node", "d", F.posexplode("sigs").alias("table", "bucket"))
+    blocks = met.groupBy("table", "d", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("table", "d", "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    met = met.join(blocks, ["table", "d", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # a bucket of b blocks makes b (b + 1) / 2 groups, each of two blocks at most
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("table", "d", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "members", "v", "sigs")
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("node", "table", "d", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
     keys = ["table", "d", "bucket", "low", "high"]
-    found = written(spread.groupBy(*keys).applyInArrow(lambda key, group: compare_blocks(key, group), "node long, links long, to long"))
+    found = written(met.join(nodes, "node").groupBy(*keys).applyInArrow(lambda key, group: compare_blocks(key, group, planes), "node long, links long, to long"))
+    discard(sigs)
     direct = found.groupBy("node").agg(F.sum("links").alias("links"))
     part = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     of = nodes.join(direct, "node", "left").join(part, "node", "left").select("v", "members", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
