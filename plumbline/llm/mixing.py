@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import read, written
+from plumbline.llm.common import discard, read, written
 
 #: Weights of the sources in code point order, repeated; a source gives at most CAP times its size.
 WEIGHTS = (1, 2, 3)
 CAP = 3
-#: Bins of the order statistic per source: only documents of the bin in which a source's share ends are sorted.
+#: Bins of the ranks per source: only documents of the bin in which a source's share ends are sorted.
 BINS = 4096
-#: So many documents of each power-of-two size are offered for what a sample still lacks.
-FILL = 4
+#: A source is done when no more than this share of its target is open.
+CLOSE = 0.001
 #: Decisions are broadcast up to so many sources.
 FEW_SOURCES = 10_000
 SEED = "plumbline-mix"
@@ -57,77 +57,132 @@ def pareto_rank(u: Column, inclusion: Column) -> Column:
     return F.when(inclusion > 0, odds(u) / odds(inclusion))
 
 
+def digits(size: Column) -> Column:
+    """The binary digits of a size: the measure to which a document's expected copies are in proportion."""
+    return F.length(F.bin(size))
+
+
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size in words and random number of each row of docs(doc_id, text, source)."""
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
 
 
-def decide(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per source of rows(source, size, u): source, source_size, target, whole (certain copies of each
-    document), inclusion, last_rank (documents up to it are sampled) and closing (ranks sampled besides).
-
-    A source needs target / source_size copies of each document. The whole part are certain copies of all;
-    the rest is each document's inclusion probability, unequal between sources, in a sample of fixed size,
-    counted in words. Documents are ranked by the odds of their random number over their inclusion odds and
-    sampled from the front while all before them fit. What is missing then is filled from the next FILL
-    documents of each power-of-two size, the largest that fit first.
-    Ranks are summed in BINS bins of the random number, so that a source with most rows is added up in
-    parallel, and only the bin in which its sample ends is sorted. Rows of equal id and text share a rank.
+def source_key(source: Column) -> Column:
+    """Joins sources, null among them."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
+def expected(level: Column, size: Column, cap: int = CAP) -> tuple[Column, Column]:
+    """(certain whole copies, inclusion probability of one more) of a document."""
+    copies = F.least(F.lit(float(cap)), level * digits(size))
+    return F.floor(copies), copies - F.floor(copies)
+
+
+def source_levels(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """key, source_size, target, level and words to sample of each source of rows(source, size).
+
+    A document's expected copies are the level times its size's binary digits, cap at most, so that expected words add
+    up to the target. The level is found as the sources' is: documents of most digits meet the cap first, and
+    of the levels that leave out the longest ones the largest is final. One row per source and digits is all that is sorted.
+    """
+    classes = rows.groupBy("source", digits(F.col("size")).alias("digits")).agg(F.sum("size").alias("size"))
+    goal = source_targets(classes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumn("key", source_key(F.col("source"))).drop("source")
+    c = classes.withColumn("key", source_key(F.col("source"))).drop("source").join(goal, "key")
+    by_digits = Window.partitionBy("key").orderBy(F.col("digits").desc())
+    before = F.coalesce(F.sum(cap * F.col("size")).over(by_digits.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum(F.col("digits") * F.col("size")).over(by_digits.rowsBetween(0, Window.unboundedFollowing))
+    c = c.withColumn("level", F.when(left > 0, (F.col("target") - before) / left).otherwise(0.0)).withColumn("level", F.max("level").over(Window.partitionBy("key")))
+    whole = F.floor(F.least(F.lit(float(cap)), F.col("level") * F.col("digits")))
+    return c.groupBy("key", "source_size", "target", "level").agg((F.col("target") - F.sum(whole * F.col("size"))).alias("words"))
+
+
+def front(pool: DataFrame, state: DataFrame) -> DataFrame:
+    """key, close, after, most, upto, blocked, left: how far a source's pool(key, rank, bin, size) goes in the order of ranks, while each fits
+    in what its state's left still holds and that is more than close.
+
+    upto is the last rank taken, blocked the first one not taken (null if there is none) and left what stays open. Sizes are summed
+    by bins, so that a source with most rows is added up in parallel, and only the bin in which it ends is sorted.
     """
-    goal = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goal.withColumn("whole", F.floor(per)).withColumn("inclusion", per - F.col("whole")).withColumn("words", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = written(goal)
-    drawn = goal.where("inclusion > 0").select(F.col("source").alias("_s"), "inclusion", "words")
-    ranked = rows.join(drawn, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "source", "size", F.floor(F.col("u") * BINS).alias("bin"), pareto_rank(F.col("u"), F.col("inclusion")).alias("rank"), "words"
+    by_bin = Window.partitionBy("key").orderBy("bin")
+    bins = pool.groupBy("key", "bin").agg(F.sum("size").alias("size"), F.max("rank").alias("top"))
+    bins = bins.withColumn("until", F.sum("size").over(by_bin)).withColumn("below", F.max("top").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)))
+    edge = bins.join(state.select("key", "left", "close"), "key").where("left - until < close")
+    edge = edge.groupBy("key", "left", "close").agg(F.min(F.struct("bin", "below", (F.col("until") - F.col("size")).alias("before"))).alias("e")).select("key", "left", "close", "e.*")
+    last = pool.join(edge, ["key", "bin"]).groupBy("key", "rank", "left", "close", "before", "below").agg(F.sum("size").alias("size"))
+    last = last.withColumn("until", F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("rank")))
+    no = (F.col("until") > F.col("left")) | (F.col("left") - (F.col("until") - F.col("size")) <= F.col("close"))
+    first_no = last.groupBy("key", "before", "below").agg(F.min(F.when(no, F.struct("rank", (F.col("until") - F.col("size")).alias("used")))).alias("no"), F.max(F.struct("rank", "until")).alias("end"))
+    taken = last.join(first_no.select("key", F.col("no.rank").alias("stop")), "key").where("stop IS NULL OR rank < stop").groupBy("key").agg(F.max("rank").alias("top"))
+    ends = first_no.join(taken, "key", "left").select(
+        "key", F.col("no.rank").alias("blocked"), F.coalesce("no.used", "end.until").alias("used"), F.coalesce("top", "below", F.lit(-1.0)).alias("upto")
     )
-    in_order = Window.partitionBy("source").orderBy("bin")
-    bins = ranked.groupBy("source", "bin", "words").agg(F.sum("size").alias("size")).withColumn("until", F.sum("size").over(in_order))
-    edge = bins.where("until > words").groupBy("source").agg(F.min("bin").alias("edge"), F.min(F.col("until") - F.col("size")).alias("before"))
-    edge = written(edge).withColumnRenamed("source", "_s")
-    beyond = ranked.join(edge, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").where("bin >= edge")
-    last = beyond.where("bin = edge").groupBy("source", "rank", "words", "before").agg(F.sum("size").alias("size"))
-    last = last.withColumn("until", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank")))
-    last = written(last.groupBy("source", "words", "before").agg(F.max(F.when(F.col("until") <= F.col("words"), F.col("rank"))).alias("last_rank"), F.coalesce(F.max(F.when(F.col("until") <= F.col("words"), F.col("until"))), F.col("before")).alias("until")))
-    ends = last.select(F.col("source").alias("_s"), "last_rank", "until")
-    pool = beyond.where("size > 0").join(ends, F.col("source").eqNullSafe(F.col("_s"))).where("rank > coalesce(last_rank, -1)")
-    pool = pool.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.max(F.col("words") - F.col("until")).alias("missing")).where("size <= missing")
-    pool = pool.withColumn("class", F.floor(F.log2("size"))).withColumn("nth", F.row_number().over(Window.partitionBy("source", "class").orderBy("rank"))).where(f"nth <= {FILL}")
-    fill = pool.groupBy("source").agg(F.max("missing").alias("missing"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "rank"))).alias("offer"))
-    step = lambda a, x: F.when(-x["less"] <= a["left"], F.struct((a["left"] + x["less"]).alias("left"), F.concat(a["taken"], F.array(x["rank"])).alias("taken"))).otherwise(a)
-    start = F.struct(F.col("missing").alias("left"), F.array().cast("array<double>").alias("taken"))
-    fill = fill.select(F.col("source").alias("_f"), F.aggregate("offer", start, step)["taken"].alias("closing"))
-    # where no bin passes the sample's words, every document is in it
-    found = goal.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    found = found.join(fill, F.col("source").eqNullSafe(F.col("_f")), "left")
-    return written(found.select("source", "source_size", "target", "whole", "inclusion", F.coalesce("edge", F.lit(BINS)).alias("edge"), "last_rank", F.coalesce("closing", F.array().cast("array<double>")).alias("closing")))
-
-
-def copies_of(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """rows(source, u, ...) with source_size, target and copies of each row. Decisions are broadcast if they are few."""
-    d = decisions.withColumnRenamed("source", "_s")
-    d = F.broadcast(d) if decisions.count() <= FEW_SOURCES else d
-    joined = rows.join(d, F.col("source").eqNullSafe(F.col("_s")))
-    rank = pareto_rank(F.col("u"), F.col("inclusion"))
-    sampled = (F.col("inclusion") > 0) & ((F.floor(F.col("u") * BINS) < F.col("edge")) | (rank <= F.coalesce("last_rank", F.lit(-1.0))) | F.array_contains("closing", rank))
-    return joined.withColumn("copies", (F.col("whole") + sampled.cast("long")).cast("long")).drop("_s", "whole", "inclusion", "edge", "last_rank", "closing")
+    # where no bin comes so far, all is taken
+    total = bins.groupBy("key").agg(F.max("until").alias("all"))
+    out = state.select("key", "close", "after", "left").join(total, "key", "left").join(ends, "key", "left")
+    used = F.coalesce("used", "all", F.lit(0))
+    return out.select("key", "close", "after", F.col("left").alias("most"), F.coalesce("upto", F.lit(float("inf"))).alias("upto"), "blocked", (F.col("left") - used).alias("left"))
+
+
+def decide(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row per source of rows(source, size, u): key, source_size, target, level and sampled, the intervals of ranks taken.
+
+    The whole part of a document's expected copies is certain; the fraction is its inclusion probability, unequal
+    within a source, in a sample of fixed size, counted in words. Documents are ranked by the odds of their random number
+    over their inclusion odds, and each is taken in that order if it fits in what is still open, until no more than CLOSE of the target is.
+    A round takes all up to the first that doesn't fit and passes that over; the next round goes on behind it with the
+    documents that can still fit. Rows of equal id and text share a rank.
+    """
+    goal = written(source_levels(rows, weights, cap))
+    _, inclusion = expected(F.col("level"), F.col("size"), cap)
+    rank = pareto_rank(F.col("u"), inclusion)
+    pool = rows.where("size > 0").withColumn("key", source_key(F.col("source"))).join(goal.select("key", "level"), "key").select("key", "size", rank.alias("rank")).where("rank IS NOT NULL")
+    pool = pool.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+    state, rounds, held = goal.select("key", (F.col("target") * CLOSE).alias("close"), F.lit(-1.0).alias("after"), F.col("words").alias("left")), [], None
+    while True:
+        done = written(front(pool, state))
+        rounds.append(done)
+        state = done.where("blocked IS NOT NULL AND left > close").select("key", "close", F.col("blocked").alias("after"), "left")
+        pool = written(pool.join(state, "key").where("rank > after AND size <= left").select("key", "size", "rank", "bin"))
+        discard(held)
+        held = pool
+        if pool.isEmpty():
+            break
+    every = rounds[0]
+    for done in rounds[1:]:
+        every = every.union(done)
+    taken = every.groupBy("key").agg(F.collect_list(F.struct("after", "upto", "most")).alias("sampled"))
+    found = written(goal.join(taken, "key").select("key", "source_size", "target", "level", "sampled"))
+    discard(goal, held, *rounds)
+    return found
+
+
+def copies_of(rows: DataFrame, decisions: DataFrame, cap: int = CAP) -> DataFrame:
+    """rows(source, size, u, ...) with source_size, target and copies of each row. Decisions are broadcast if they are few."""
+    d = F.broadcast(decisions) if decisions.count() <= FEW_SOURCES else decisions
+    joined = rows.withColumn("key", source_key(F.col("source"))).join(d, "key")
+    whole, inclusion = expected(F.col("level"), F.col("size"), cap)
+    joined = joined.withColumn("whole", whole).withColumn("rank", pareto_rank(F.col("u"), inclusion))
+    sampled = F.coalesce(F.exists("sampled", lambda r: (F.col("rank") > r["after"]) & (F.col("rank") <= r["upto"]) & (F.col("size") <= r["most"])), F.lit(False))
+    return joined.withColumn("copies", (F.col("whole") + sampled.cast("long")).cast("long")).drop("key", "level", "sampled", "whole", "rank")
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of each row of docs(doc_id, text, source).
 
-    Null texts have no words; a null source is a source, last in order; a source without words has target 0;
-    rows of equal id and text are taken alike; other columns are ignored; an empty table gives an empty one.
+    Null texts have no words; a null source is a source, last in order; a source without words has target 0; a document
+    without words is never sampled; rows of equal id and text are taken alike; other columns are ignored; an empty table gives an empty one.
     """
     rows = written(sized(docs, seed))
     return copies_of(rows, decide(rows)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs. Texts are not shuffled."""
-    decisions = decide(written(sized(docs, seed).select("source", "size", "u")))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    """The rows of docs, each as often as the mix takes it, with the columns of docs. Texts are not shuffled. A document without words
+    is kept as often as its source's level gives it whole copies."""
+    sizes = written(sized(docs, seed).select("source", "size", "u"))
+    decisions = decide(sizes)
+    discard(sizes)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     return copies_of(rows, decisions).where("copies > 0").select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")
 
 
@@ -151,33 +206,30 @@ WITH RECURSIVE r AS (
   FROM w WINDOW b AS (ORDER BY 3 * source_size / weight, source ASC NULLS LAST)
 ), t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, max((total - before) / rest) OVER () * weight) AS target FROM p
-), g AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS inclusion,
-    target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS words
-  FROM t
+), b AS (
+  SELECT source, length(bin(size)) AS digits, sum(size)::BIGINT AS size FROM r GROUP BY ALL
+), v AS (
+  SELECT b.*, target, CASE WHEN sum(digits * b.size) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 THEN (target
+    - (coalesce(sum(3 * b.size) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE) / (sum(digits * b.size) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE ELSE 0 END AS step
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source WINDOW x AS (PARTITION BY b.source ORDER BY digits DESC)
+), m AS (SELECT *, max(step) OVER (PARTITION BY source) AS level FROM v), g AS (
+  SELECT source, max(level) AS level, max(target) AS target, max(target) - (sum(floor(least(3.0::DOUBLE, level * digits)) * size))::DOUBLE AS words FROM m GROUP BY source
 ), q AS (
-  SELECT r.*, g.source_size, g.target, g.whole, g.inclusion, g.words,
-    CASE WHEN inclusion > 0 THEN (u / (1.0::DOUBLE - u)) / (inclusion / (1.0::DOUBLE - inclusion)) END AS rank
-  FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
+  SELECT r.*, t.source_size, t.target, words, least(3.0::DOUBLE, level * length(bin(size))) AS copies
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source JOIN g ON r.source IS NOT DISTINCT FROM g.source
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS until FROM q WHERE rank IS NOT NULL
-), e AS (
-  SELECT source, max(words) - coalesce(max(until) FILTER (until <= words), 0) AS missing FROM c GROUP BY source
-), o AS (
-  SELECT c.source, rank, sum(size) AS size, max(missing) AS missing
-  FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source WHERE until > words AND size > 0 GROUP BY c.source, rank HAVING sum(size) <= max(missing)
-), f AS (
-  SELECT *, row_number() OVER (PARTITION BY source, floor(log2(size)) ORDER BY rank) AS nth FROM o
-), l AS (
-  SELECT source, rank, size, missing, row_number() OVER (PARTITION BY source ORDER BY size DESC, rank) AS k FROM f WHERE nth <= 4
+  SELECT source, (u / (1.0::DOUBLE - u)) / ((copies - floor(copies)) / (1.0::DOUBLE - (copies - floor(copies)))) AS rank, sum(size) AS size, max(words) AS words
+  FROM q WHERE copies > floor(copies) AND size > 0 GROUP BY ALL
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS nth FROM c
 ), walk AS (
-  SELECT source, 0::BIGINT AS k, missing AS lacks, -1.0::DOUBLE AS taken FROM e
+  SELECT source, 0::BIGINT AS nth, words AS lacks, -1.0::DOUBLE AS taken, target * 0.001::DOUBLE AS close FROM g
   UNION ALL
-  SELECT l.source, l.k, CASE WHEN l.size <= walk.lacks THEN walk.lacks - l.size ELSE walk.lacks END, CASE WHEN l.size <= walk.lacks THEN l.rank ELSE -1.0::DOUBLE END
-  FROM walk JOIN l ON l.source IS NOT DISTINCT FROM walk.source AND l.k = walk.k + 1
-), x AS (SELECT source, rank, until <= words OR EXISTS (SELECT 1 FROM walk WHERE walk.source IS NOT DISTINCT FROM c.source AND walk.taken = c.rank) AS sampled, doc_id, size, source_size, target, whole FROM c)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN sampled THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
-UNION ALL
-SELECT doc_id, size, source_size, target, (size * whole)::BIGINT FROM q WHERE rank IS NULL
+  SELECT n.source, n.nth, CASE WHEN n.size <= walk.lacks AND walk.lacks > close THEN walk.lacks - n.size ELSE walk.lacks END,
+    CASE WHEN n.size <= walk.lacks AND walk.lacks > close THEN n.rank ELSE -1.0::DOUBLE END, close
+  FROM walk JOIN n ON n.source IS NOT DISTINCT FROM walk.source AND n.nth = walk.nth + 1
+)
+SELECT doc_id, size, source_size, target, (size * (floor(copies) + CASE WHEN copies > floor(copies) AND EXISTS (
+  SELECT 1 FROM walk WHERE walk.source IS NOT DISTINCT FROM q.source AND walk.taken = (u / (1.0::DOUBLE - u)) / ((copies - floor(copies)) / (1.0::DOUBLE - (copies - floor(copies))))
+) THEN 1 ELSE 0 END))::BIGINT AS taken FROM q
 """

@@ -143,6 +143,34 @@ def test_mix_edges(spark):
     assert sorted(again.taken) == sorted(out.taken)
 
 
+def test_mix_inclusion_follows_its_probability(spark):
+    """Many sources with the same documents and other random numbers: how often each is taken."""
+    rng = np.random.default_rng(4)
+    sizes, runs = [3, 9, 20, 60, 130, 300, 700, 1500] * 150, 30
+    made = [(f"s{k:03}", float(s), i, float(rng.random())) for k in range(runs) for i, s in enumerate(sizes)]
+    rows_ = spark.createDataFrame(made, "source string, s double, item int, u double").select("source", F.col("s").cast("long").alias("size"), "item", "u")
+    decisions = mixing.decide(rows_, weights=(1,))
+    out = mixing.copies_of(rows_, decisions)
+    found = {r.item: r.copies for r in out.groupBy("item").agg(F.avg("copies").alias("copies")).collect()}
+    level = decisions.first().level
+    want = np.array([min(3.0, level * len(f"{s:b}")) for s in sizes])
+    assert len(set(want.round(6))) == 8 and want.min() < 0.3 and want.max() > 1.0
+    got = np.array([found[i] for i in range(len(sizes))])
+    assert abs(got.reshape(-1, 8).mean(0) - want[:8]).max() < 0.03
+    total = [r.total for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("total")).collect()]
+    assert max(total) <= sum(sizes) and np.mean(total) > 0.995 * sum(sizes)
+
+
+def test_mix_one_very_long_document(spark):
+    """A document that blocks leaves no gap: those behind it that fit are taken."""
+    rng = np.random.default_rng(5)
+    made = [(f"s{k:02}", int(s), float(rng.random())) for k in range(12) for s in [*rng.integers(50, 400, 800), 200_000]]
+    rows_ = spark.createDataFrame(made, "source string, size long, u double")
+    out = mixing.copies_of(rows_, mixing.decide(rows_, weights=(1,))).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    gap = [1 - r.taken / r.target for r in out]
+    assert min(gap) >= 0 and np.median(gap) < 0.0011
+
+
 def test_digest_is_of_normalised_text(spark):
     docs = spark.createDataFrame([(1, " a\x0bb\r\n")], "doc_id long, text string").withColumn("row", F.lit(1).cast("long"))
     assert exact_dedup.exact_groups(docs).first().text_sha256 == sha256(b"ab").hexdigest()
