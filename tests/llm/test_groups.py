@@ -11,7 +11,7 @@ import xxhash
 from conftest import DATA, rows
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, exact_dedup, mixing, neardup_vectors, simhash
+from plumbline.llm import components, exact_dedup, mixing, near_texts, neardup_vectors, simhash
 from plumbline.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size string"
@@ -68,8 +68,6 @@ def test_simhash_edges(spark):
     want = sorted((str(r[0]), f"{brute_fingerprint(r[1]):016x}") for r in docs.collect())
     assert sorted((str(r.doc_id), r.fingerprint) for r in found) == want
     assert {r.component_id for r in found if r.fingerprint == "0" * 16} == {4}
-    kept = simhash.without_near_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == len({(r.component_id) for r in found})
     assert simhash.simhash_groups(docs.where("doc_id > 100")).count() == 0
 
 
@@ -106,6 +104,57 @@ def test_simhash_links_equal_brute_force(spark, monkeypatch, held):
         assert len(set(local)) == len(set(label))
 
 
+def shingle_set(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(words))
+        words[i : i + rng.randrange(2)] = [f"new{rng.randrange(10**6)}"]
+    return words
+
+
+@pytest.mark.parametrize("few", [32, 3])
+def test_near_texts_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(near_texts, "FEW", few)
+    rng = random.Random(9)
+    word = lambda: f"w{min(rng.randrange(3000), rng.randrange(3000))}"
+    base = [[word() for _ in range(rng.choice((12, 80, 300)))] for _ in range(60)]
+    texts = [" ".join(w) for w in base]
+    texts += [" ".join(edited(rng, base[k % 20], rng.randrange(1, 2 + len(base[k % 20]) // 30))) for k in range(150)]
+    texts += [" ".join(edited(rng, base[21], rng.randrange(1, 5))) for _ in range(120)] + [texts[3].upper(), "a b", "A  b", "", None, " \n", "b a"]
+    docs = spark.createDataFrame([(1000 - i if i else None, t, "r", "a") for i, t in enumerate(texts)], "doc_id long, text string, row string, a string")
+    sets = [shingle_set(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = closed(len(texts), near)
+    kept = near_texts.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    found = {r.doc_id for r in kept.collect()}
+    groups = defaultdict(list)
+    for i, k in enumerate(label):
+        groups[k].append(1000 - i if i else None)
+    stays = {min(g, key=lambda x: (x is None, x or 0)) for g in groups.values()}
+    assert stays <= found and len(found - stays) <= 0.05 * (len(texts) - len(stays))
+    assert near_texts.without_near_copies(docs.where("doc_id > 5000")).count() == 0
+
+
+def test_near_texts_of_a_table(spark):
+    """Planted near copies of sf0.01 against all pairs that share a rare shingle."""
+    docs = exact_dedup.without_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, found in texts.items():
+        for x in found:
+            holders[x].append(i)
+    pairs = {(a, b) for g in holders.values() if len(g) < 50 for a in g for b in g if a < b}
+    near = {(a, b) for a, b in pairs if 5 * len(texts[a] & texts[b]) >= 4 * len(texts[a] | texts[b])}
+    dropped = set(texts) - {r.doc_id for r in near_texts.without_near_copies(docs).collect()}
+    assert dropped <= {max(p) for p in near} and len(dropped) >= 0.8 * len(near) > 0
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup_vectors, "BLOCK", 16)
     rng = np.random.default_rng(1)
