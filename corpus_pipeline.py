@@ -14,7 +14,7 @@ from plumbline.llm.common import read, written
 from plumbline.llm.exact_dedup import without_copies
 from plumbline.llm.mixing import mixed_documents
 from plumbline.llm.quality import good_documents
-from plumbline.llm.simhash import without_near_copies
+from plumbline.llm.near_texts import without_near_copies
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: sets of five-word shingles similar at 0.8 or more."""
     return without_near_copies(docs)
 
 
