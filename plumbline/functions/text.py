@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 _BASE = {c: [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)] for c in map(chr, range(0xC0, 0x250))}
 _FROM = "".join(c for c, base in _BASE.items() if len(base) == 1 and base != [c])
 _TO = "".join(_BASE[c][0] for c in _FROM)
-#: Name particles that stay lower case.
-PARTICLES = ["da", "das", "de", "del", "della", "der", "di", "do", "dos", "du", "e", "van", "von"]
+#: Name particles that stay lower case in a shown name, and those that are no part of a name's key.
+SHOWN_PARTICLES = ["de", "da", "do", "das", "dos", "e", "di", "del", "van", "von", "y"]
+PARTICLES = ["de", "da", "do", "das", "dos", "e", "di", "del", "van", "von", "y", "la", "le"]
 
 
 def strip_accents(x: Column) -> Column:
@@ -42,7 +43,7 @@ def display_person_name(x: Column) -> Column:
     """Each word with a capital; particles in lower case unless first."""
     words = F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")
     capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(PARTICLES), F.lower(w)).otherwise(capital(w))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(SHOWN_PARTICLES), F.lower(w)).otherwise(capital(w))), " ")
 
 
 def given_first(x: Column) -> Column:
@@ -61,20 +62,37 @@ def entity_id(kind: Column | str, x: Column) -> Column:
     return F.when(s != "", F.concat_ws(":", F.lit(kind) if isinstance(kind, str) else kind, s))
 
 
+#: A year of a citation, with a letter perhaps.
+YEAR = r"(?:19|20)[0-9]{2}[a-zA-Z]?"
+#: What may stand in a bracket on either side of it.
+SIDE = "[^()]{0,140}"
+
+
 def scrub_citations(x: Column) -> Column:
-    """Without URLs, DOIs, bracketed year citations, "X et al. YEAR" and [1, 2]; then cleaned."""
+    """Text without citations, cleaned: web addresses, DOIs, short brackets with a year, "Name et al. year", [1, 2] and "NAME year".
+
+    A bracket is one without inner brackets, of at most 140 characters on either side of the year, which stands as a word by itself.
+    """
+    capital = r"\p{Lu}\p{Lu}+"
     steps = (
-        r"(?i)https?://\S+",
-        r"(?i)\bdoi:?\s*10\.\S+",
-        r"\([^()]{0,140}\b(?:19|20)\d{2}[a-z]?\b[^()]{0,140}\)",
-        r"(?iU)\b\p{L}[\p{L}'-]+\s+et\s+al\.?,?\s*\(?(?:19|20)\d{2}[a-z]?\)?",
-        r"\[\d+(?:\s*[,;-]\s*\d+)*\]",
+        r"(?i)(?:https?://|www\.)\S+",
+        r"(?i)(?:\bdoi:?\s*)?\b10\.[0-9]{4,9}/\S+",
+        rf"\((?={SIDE}\b{YEAR}\b{SIDE}\))[^()]+\)",
+        rf"(?iU)\b\p{{L}}[\p{{L}}'’-]+(?:\s+\p{{L}}[\p{{L}}'’-]+){{0,3}}?\s+et\s+al\b\.?\s*,?\s*\(?\s*{YEAR}\b\s*\)?",
+        r"\[\s*[0-9]+(?:[\s,;-]+[0-9]+)*[\s,;]*\]",
+        rf"(?U)\b{capital}(?:\s+{capital}){{0,3}}\s*,?\s*{YEAR}\b",
     )
+    x = clean_text(x)
     for pattern in steps:
         x = F.regexp_replace(x, pattern, " ")
     return clean_text(x)
 
 
+def capitalised(x: Column) -> Column:
+    """Sequences of two to four words that begin with a capital A-Z and go on in a-z."""
+    return F.regexp_extract_all(x, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}"), F.lit(0))
+
+
 def join_unique(parts: Column, sep: str = " ", limit: int | None = None) -> Column:
     """An array's parts joined without empty ones and repeats (case aside); with a limit, the part that passes it is cut and ends the text."""
     key = lambda p: F.replace(F.lower(p), F.lit("ß"), F.lit("ss"))

@@ -59,20 +59,19 @@ def cheapest_paths(edges: DataFrame, source: int, hops: int, least_weight: float
     return best
 
 
-def min_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component), the smallest node reachable; rounds of minima over neighbours and over labels, with checkpoints."""
+def min_labels(edges: DataFrame) -> DataFrame:
+    """(node, component), the smallest node reachable; rounds of minima over neighbours and over labels, with checkpoints, until nothing changes."""
     step = both_ways(edges).select("src", "dst")
     labels = step.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = step.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
         nxt = labels.join(near, labels["node"] == near["src"]).select("node", F.least("component", "near").alias("component"))
         jump = nxt.select(F.col("node").alias("at"), F.col("component").alias("to"))
         nxt = nxt.join(jump, F.col("component") == F.col("at")).select("node", F.least("component", "to").alias("component")).checkpoint()
-        changed = nxt.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
+        done = nxt.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         labels = nxt
-        if changed:
-            break
-    return labels
+        if done:
+            return labels
 
 
 def triangles(edges: DataFrame) -> DataFrame:

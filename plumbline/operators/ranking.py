@@ -24,6 +24,28 @@ def percentile_rank(by: list[str], score: str) -> Column:
     return (F.rank().over(group.orderBy(score)) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / 2.0) / F.count("*").over(group) * 100.0
 
 
+def with_percentile(df: DataFrame, by: list[str], score: str, name: str, bins: int = 64) -> DataFrame:
+    """df with percentile_rank under a name, from counts: no task sorts a group.
+
+    Scores are counted per value, values fall into bins by approximate quantiles of all scores, bins are added up (at most `bins` rows a group)
+    and values only within a bin. Null scores come first and are equal.
+    """
+    edges = sorted(set(df.approxQuantile(score, [i / bins for i in range(1, bins)], 0.005))) if df.select(score).dtypes[0][1] != "string" else []
+    v = F.col(score)
+    bin_of = F.when(v.isNull(), F.lit(-1)).otherwise(sum((F.when(v > F.lit(e), F.lit(1)).otherwise(F.lit(0)) for e in edges), F.lit(0)))
+    counts = df.select(*by, v.alias("_v"), bin_of.alias("_bin")).groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"))
+    bin_sizes = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m"))
+    group = Window.partitionBy(*by)
+    below = bin_sizes.select(*by, "_bin", F.sum("_m").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), "_m", F.sum("_m").over(group).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    x, y = counts.withColumn("_inside", inside).alias("x"), below.alias("y")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*by, "_bin"]]
+    place = F.col("_upto") - F.col("_m") + F.col("_inside") + 1 + (F.col("_n") - 1) / 2.0
+    ranked = x.join(y, reduce(lambda a, b: a & b, same)).select(*[F.col(f"x.{c}").alias(f"_{i}") for i, c in enumerate(by)], "_v", (place / F.col("_all") * 100.0).alias(name))
+    on = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)] + [v.eqNullSafe(F.col("_v"))]
+    return df.join(ranked, reduce(lambda a, b: a & b, on)).select(*[df[c] for c in df.columns], name)
+
+
 def reciprocal_rank_fusion(scores: DataFrame, by: list[str], item: str, channel: str, weights: dict[str, float], k: int = 60) -> DataFrame:
     """Sum of weight / (k + place) over channels, relative to the best possible; scores(by, item, channel, score)."""
     weight = reduce(lambda c, w: c.when(F.col(channel) == w, F.lit(float(weights[w]))), list(weights)[1:], F.when(F.col(channel) == list(weights)[0], F.lit(float(list(weights.values())[0]))))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 
 from plumbline.functions.text import words
-from plumbline.operators.ranking import percentile_rank
+from plumbline.operators.ranking import with_percentile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def postings(docs: DataFrame, doc: str, tokens: Column, *keep: str) -> DataFrame:
-    """(doc, keep..., term, tf)."""
-    return docs.select(doc, *keep, F.explode(tokens).alias("term")).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf"))
+    """(doc, keep..., term, tf), computed once: texts are tokenised in one pass and the result cuts the lineage."""
+    return docs.select(doc, *keep, F.explode(tokens).alias("term")).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf")).checkpoint()
 
 
 def tfidf(terms: DataFrame, doc: str, n_docs: int) -> DataFrame:
@@ -27,14 +27,16 @@ def bm25f(fields: DataFrame, doc: str, query: list[str], weights: dict[str, floa
     """(doc, score) of fields(doc, field, text) for the query's distinct terms.
 
     Field weights count before saturation, lengths are normalised per field, and a term's document frequency is
-    over all fields. The terms filter the postings before the shuffle; lengths and frequencies are small aggregates.
+    over all fields. One pass over the texts leaves a field's length and the counts of the query's terms; lengths and frequencies
+    are small aggregates of that.
     """
+    is_term = lambda w: lambda t: t == w
     terms = sorted(set(query))
-    tokens = fields.select(doc, "field", words(F.col("text")).alias("tokens"))
-    sized = tokens.withColumn("size", F.size("tokens"))
+    tokens = fields.select(doc, "field", words(F.col("text")).alias("tokens")).select(doc, "field", F.size("tokens").alias("size"), F.filter("tokens", lambda t: t.isin(terms)).alias("found"))
+    sized = tokens.select(doc, "field", "size", *[F.size(F.array_remove(F.transform("found", is_term(w)), False)).alias(f"tf{i}") for i, w in enumerate(terms)]).checkpoint()
     mean = sized.groupBy("field").agg(F.avg("size").alias("mean"))
-    n = fields.select(doc).distinct().agg(F.count("*").alias("n"))
-    hits = sized.select(doc, "field", "size", F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("term")).groupBy(doc, "field", "size", "term").agg(F.count("*").alias("tf"))
+    n = sized.select(doc).distinct().agg(F.count("*").alias("n"))
+    hits = sized.select(doc, "field", "size", F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.col(f"tf{i}").alias("tf")) for i, w in enumerate(terms)])).alias("h")).select(doc, "field", "size", "h.*").where("tf > 0")
     w = F.lit(0.0)
     for field, weight in weights.items():
         w = F.when(F.col("field") == field, F.lit(float(weight))).otherwise(w)
@@ -47,7 +49,8 @@ def bm25f(fields: DataFrame, doc: str, query: list[str], weights: dict[str, floa
 def bm25f_search(fields: DataFrame, doc: str, query: list[str], weights: dict[str, float], k: int) -> DataFrame:
     """The k best documents with percentile among the documents hit."""
     scored = bm25f(fields, doc, query, weights).withColumn("score", F.round("score", 8))
-    return scored.withColumn("percentile", F.round(percentile_rank([], "score"), 6)).orderBy(F.col("score").desc(), doc).limit(k)
+    ranked = with_percentile(scored.checkpoint(), [], "score", "percentile").withColumn("percentile", F.round("percentile", 6))
+    return ranked.orderBy(F.col("score").desc(), doc).limit(k)
 
 
 def cooccurrence(positions: DataFrame, doc: str, window: int) -> DataFrame:
@@ -84,9 +87,11 @@ def cosine(a: str, b: str) -> Column:
 
 
 def shared_feature_pairs(features: DataFrame, entity: str, feature: str, weight: str | None = None) -> DataFrame:
-    """(a, b, similarity): Jaccard of feature sets, or cosine of weights, of the pairs a < b that share a feature."""
+    """(a, b, similarity): Jaccard of feature sets, or cosine of weights, of the pairs a < b that share a feature.
+
+    A feature's pairs are the square of its holders, so features should be held by few: values that all hold say nothing."""
     w = F.col(weight) if weight else F.lit(1.0)
-    x = features.select(F.col(entity).alias("e"), F.col(feature).alias("f"), w.alias("w"))
+    x = features.select(F.col(entity).alias("e"), F.col(feature).alias("f"), w.alias("w")).checkpoint()
     size = x.groupBy("e").agg(F.sum(F.col("w") * F.col("w")).alias("n"))
     pairs = x.toDF("a", "f", "wa").join(x.toDF("b", "f", "wb"), "f").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
     pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")

@@ -14,20 +14,27 @@ from plumbline.sources import pages as P
 
 #: The particles as SQL text.
 PARTICLES = ", ".join(f"'{p}'" for p in T.PARTICLES)
-BYLINE = f"SELECT doc_id, ({WORDS})[1:8] AS w FROM documents"
+SHOWN = ", ".join(f"'{p}'" for p in T.SHOWN_PARTICLES)
+#: The words of each line of a document, as names.
+BYLINE = f"SELECT doc_id, nth, ({WORDS}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)"
+TITLE = f"SELECT doc_id, {WORDS.replace('(text)', '(split_part(text, chr(10), 1))')} AS w FROM documents"
 
 
 def bylines(t):
-    return t("documents").select("doc_id", F.slice(T.words(F.col("text")), 1, 8).alias("w"))
+    """The words of each line of a document, as names."""
+    return t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("nth"), T.words(F.col("line")).alias("w"))
 
 
 @query(
     "T02_scrubbed",
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace('see [1, 2] and ' || url || ' (made in 2019) ' || page_id || ' end', 'https?://\S+', ' ', 'g'), '\([^()]*2019[^()]*\)|\[1, 2\]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""",
+    r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[•·▪●◦‣]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM documents), u AS (SELECT doc_id, regexp_replace(x, '(?i)(?:https?://|www\.)\S+', ' ', 'g') AS x FROM c),
+    d AS (SELECT doc_id, regexp_replace(x, '(?i)(?:\bdoi:?\s*)?\b10\.[0-9]{4,9}/\S+', ' ', 'g') AS x FROM u), p AS (SELECT doc_id, regexp_replace(x, '\([^()]{0,140}\b(?:19|20)[0-9]{2}[a-zA-Z]?\b[^()]{0,140}\)', ' ', 'g') AS x FROM d),
+    e AS (SELECT doc_id, regexp_replace(x, '(?i)\b\pL[\pL''’-]+(?:\s+\pL[\pL''’-]+){0,3}?\s+et\s+al\b\.?\s*,?\s*\(?\s*(?:19|20)[0-9]{2}[a-zA-Z]?\b\s*\)?', ' ', 'g') AS x FROM p),
+    b AS (SELECT doc_id, regexp_replace(x, '\[\s*[0-9]+(?:[\s,;-]+[0-9]+)*[\s,;]*\]', ' ', 'g') AS x FROM e), n AS (SELECT doc_id, regexp_replace(x, '\b\p{Lu}\p{Lu}+(?:\s+\p{Lu}\p{Lu}+){0,3}\s*,?\s*(?:19|20)[0-9]{2}[a-zA-Z]?\b', ' ', 'g') AS x FROM b)
+    SELECT doc_id, sha256(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS text FROM n""",
 )
 def _(t):
-    cited = F.concat(F.lit("see [1, 2] and "), "url", F.lit(" (made in 2019) "), F.col("page_id").cast("string"), F.lit(" end"))
-    return t("pages").select("page_id", T.scrub_citations(cited).alias("text"))
+    return t("documents").select("doc_id", F.sha2(T.scrub_citations(F.col("text")).cast("binary"), 256).alias("text"))
 
 
 @query("T03_join_unique", "SELECT o_orderkey, o_orderpriority || '; ' || o_orderstatus AS joined FROM orders")
@@ -36,15 +43,15 @@ def _(t):
     return t("orders").select("o_orderkey", T.join_unique(parts, "; ").alias("joined"))
 
 
-@query("T07_display_name", f"SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN ({PARTICLES}) THEN x ELSE upper(x[1]) || x[2:] END), ' ') AS name FROM ({BYLINE})")
+@query("T07_display_name", f"SELECT doc_id, nth, md5(array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN ({SHOWN}) THEN x ELSE upper(x[1]) || x[2:] END), ' ')) AS name FROM ({BYLINE})")
 def _(t):
-    return bylines(t).select("doc_id", T.display_person_name(F.array_join("w", " ")).alias("name"))
+    return bylines(t).select("doc_id", "nth", F.md5(T.display_person_name(F.array_join("w", " ")).cast("binary")).alias("name"))
 
 
-@query("T09_name_key", f"SELECT doc_id, k[1][1] AS initial, k[-1] AS family FROM (SELECT doc_id, list_filter(w, lambda x: x NOT IN ({PARTICLES})) AS k FROM ({BYLINE})) WHERE len(k) > 0")
+@query("T09_name_key", f"SELECT doc_id, nth, k[1][1] AS initial, k[-1] AS family FROM (SELECT doc_id, nth, list_filter(w, lambda x: x NOT IN ({PARTICLES})) AS k FROM ({BYLINE})) WHERE len(k) > 0")
 def _(t):
     kept = F.filter("w", lambda x: ~x.isin(T.PARTICLES))
-    return bylines(t).withColumn("k", kept).where(F.size("k") > 0).select("doc_id", F.substring(F.element_at("k", 1), 1, 1).alias("initial"), F.element_at("k", -1).alias("family"))
+    return bylines(t).withColumn("k", kept).where(F.size("k") > 0).select("doc_id", "nth", F.substring(F.element_at("k", 1), 1, 1).alias("initial"), F.element_at("k", -1).alias("family"))
 
 
 @query(
@@ -57,11 +64,11 @@ def _(t):
 
 @query(
     "T26_masked_title",
-    f"""WITH x AS ({BYLINE}), o AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM x), d AS (SELECT term, count(*) AS df FROM o GROUP BY term), k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS place FROM o JOIN d USING (term)),
+    f"""WITH x AS ({TITLE}), o AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM x), d AS (SELECT term, count(*) AS df FROM o GROUP BY term), k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS place FROM o JOIN d USING (term)),
     m AS (SELECT doc_id, list(term) AS masked FROM k WHERE place <= 2 GROUP BY doc_id) SELECT doc_id, array_to_string(list_filter(w, lambda a: NOT list_contains(masked, a)), ' ') AS title FROM x JOIN m USING (doc_id)""",
 )
 def _(t):
-    x = bylines(t)
+    x = t("documents").select("doc_id", T.words(F.substring_index("text", "\n", 1)).alias("w"))
     o = x.select("doc_id", F.explode(F.array_distinct("w")).alias("term"))
     rare = R.top_per_group(o.join(o.groupBy("term").agg(F.count("*").alias("df")), "term"), ["doc_id"], [F.col("df"), F.col("term")], 2)
     return x.join(rare.groupBy("doc_id").agg(F.collect_list("term").alias("masked")), "doc_id").select("doc_id", F.array_join(F.filter("w", lambda a: ~F.array_contains("masked", a)), " ").alias("title"))
@@ -233,5 +240,5 @@ def _(t):
 def _(t):
     per = t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag").agg(F.sum(F.col("l_quantity").cast(MONEY)).cast("double").alias("v"))
     w = F.when(F.col("l_returnflag") == "N", 0.5).when(F.col("l_returnflag") == "A", 0.3).otherwise(0.2)
-    ranked = per.withColumn("pct", R.percentile_rank(["l_returnflag"], "v"))
+    ranked = R.with_percentile(per, ["l_returnflag"], "v", "pct")
     return ranked.groupBy("s_suppkey").agg(F.round(F.sum(w * F.col("pct")), 6).alias("score"), F.round(F.max("pct"), 6).alias("best"))

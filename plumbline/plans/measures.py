@@ -83,7 +83,7 @@ def _(t):
 )
 def _(t):
     docs = t("documents")
-    terms = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    terms = IR.postings(docs, "doc_id", T.words(F.col("text")))
     return IR.rarity_weights(terms, "doc_id", docs.count()).select("doc_id", F.round("rarity", 6).alias("rarity"))
 
 
@@ -131,7 +131,7 @@ def _(t):
 
 @query("W02_percentile", "SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY lang) * 100, 6) AS percentile FROM documents")
 def _(t):
-    return t("documents").select("doc_id", F.round(R.percentile_rank(["lang"], "n_chars"), 6).alias("percentile"))
+    return R.with_percentile(t("documents").select("doc_id", "lang", "n_chars"), ["lang"], "n_chars", "p").select("doc_id", F.round("p", 6).alias("percentile"))
 
 
 @query("W01_ordinal", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey)::BIGINT AS place, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST)::BIGINT AS shared FROM supplier")
@@ -157,15 +157,16 @@ def _(t):
 
 @query(
     "W13_rank_blend",
-    """WITH f AS (SELECT s_suppkey, s_acctbal AS a, (s_suppkey * 7919) % 1000 AS b FROM supplier), p AS (SELECT s_suppkey, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS pa,
+    """WITH f AS (SELECT s_suppkey, s_acctbal AS a, n AS b FROM supplier JOIN (SELECT l_suppkey, count(*)::DOUBLE AS n FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey), p AS (SELECT s_suppkey, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS pa,
     (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS pb FROM f), m AS (SELECT s_suppkey, round((2 * pa + pb) / 300, 9) AS blend FROM p)
     SELECT s_suppkey, blend, round((rank() OVER (ORDER BY blend) + (count(*) OVER (PARTITION BY blend) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 6) AS overall FROM m""",
 )
 def _(t):
-    f = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("a"), ((F.col("s_suppkey") * 7919) % 1000).alias("b"))
-    p = f.select("s_suppkey", R.percentile_rank([], "a").alias("pa"), R.percentile_rank([], "b").alias("pb"))
+    n = t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").cast("double").alias("b"))
+    f = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("a")).join(n, "s_suppkey")
+    p = R.with_percentile(R.with_percentile(f, [], "a", "pa"), [], "b", "pb")
     m = p.select("s_suppkey", F.round((2 * F.col("pa") + F.col("pb")) / 300, 9).alias("blend"))
-    return m.select("s_suppkey", "blend", F.round(R.percentile_rank([], "blend"), 6).alias("overall"))
+    return R.with_percentile(m, [], "blend", "p").select("s_suppkey", "blend", F.round("p", 6).alias("overall"))
 
 
 REVENUE = "SELECT s_nationkey, s_suppkey, sum((l_extendedprice::DECIMAL(18,2)))::DOUBLE AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
@@ -207,40 +208,38 @@ def _(t):
 
 @query(
     "U04_jaccard",
-    """WITH f AS (SELECT DISTINCT l_suppkey AS e, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40), n AS (SELECT e, count(*) AS n FROM f GROUP BY e),
+    """WITH f AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS f FROM lineitem), n AS (SELECT e, count(*) AS n FROM f GROUP BY e),
     s AS (SELECT x.e AS a, y.e AS b, count(*) AS s FROM f x JOIN f y ON x.f = y.f AND x.e < y.e GROUP BY ALL) SELECT a, b, round(s::DOUBLE / (p.n + q.n - s), 6) AS similarity FROM s JOIN n p ON a = p.e JOIN n q ON b = q.e""",
 )
 def _(t):
-    return IR.shared_feature_pairs(brands(t), "e", "f").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return IR.shared_feature_pairs(parts_of(t), "e", "f").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-def brands(t):
-    lines = t("lineitem").where("l_quantity > 40").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select(F.col("l_suppkey").alias("e"), F.col("p_brand").alias("f")).distinct()
+def parts_of(t):
+    """The parts of each supplier: a part is supplied by few."""
+    return t("lineitem").select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("f")).distinct()
 
 
 @query(
     "N23_pruned_similarity",
-    """WITH w AS (SELECT l_suppkey AS e, p_type || p_size::VARCHAR AS f, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), n AS (SELECT e, sum(w * w) AS n FROM w GROUP BY e),
+    """WITH w AS (SELECT l_suppkey AS e, l_partkey AS f, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS w FROM lineitem GROUP BY ALL), n AS (SELECT e, sum(w * w) AS n FROM w GROUP BY e),
     s AS (SELECT x.e AS a, y.e AS b, sum(x.w * y.w) AS s FROM w x JOIN w y ON x.f = y.f AND x.e < y.e GROUP BY ALL), c AS (SELECT a, b, round(s / sqrt(p.n * q.n), 6) AS similarity FROM s JOIN n p ON a = p.e JOIN n q ON b = q.e),
     k AS (SELECT * FROM c WHERE similarity >= 0.18), e AS (SELECT a AS e, * FROM k UNION ALL SELECT b, * FROM k)
     SELECT DISTINCT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY similarity DESC, a, b) AS place FROM e) WHERE place <= 6""",
 )
 def _(t):
-    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    w = lines.groupBy(F.col("l_suppkey").alias("e"), F.concat("p_type", F.col("p_size").cast("string")).alias("f")).agg(F.sum(F.col("l_quantity").cast(MONEY)).cast("double").alias("w"))
+    w = t("lineitem").groupBy(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("f")).agg(F.sum(F.col("l_quantity").cast(MONEY)).cast("double").alias("w"))
     pairs = IR.shared_feature_pairs(w, "e", "f", "w").withColumn("similarity", F.round("similarity", 6))
     return IR.prune_edges(pairs, 0.18, 6)
 
 
-EDGES = """e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'), g AS (SELECT a.s AS src, b.s AS dst, count(*)::DOUBLE AS weight FROM e a JOIN e b ON a.o = b.o AND a.s < b.s GROUP BY ALL),
+EDGES = """e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), g AS (SELECT a.s AS src, b.s AS dst, count(*)::DOUBLE AS weight FROM e a JOIN e b ON a.o = b.o AND a.s < b.s GROUP BY ALL),
     u AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)"""
 
 
 def edges(t):
-    early = t("lineitem").where("l_shipdate < TIMESTAMP_NTZ '1996-01-01'")
-    e = shared_orders(lambda _: early)
-    return e.withColumn("weight", F.col("weight").cast("double"))
+    """Suppliers that share orders, by how many; all line items."""
+    return shared_orders(t).withColumn("weight", F.col("weight").cast("double"))
 
 
 @query("N13_degree", f"WITH {EDGES} SELECT src AS node, count(*)::BIGINT AS degree, sum(weight) AS strength FROM u GROUP BY src")
@@ -253,9 +252,9 @@ def _(t):
     return G.strongest_neighbours(edges(t), 5).select("src", "dst", "weight", F.col("place").cast("long").alias("place"))
 
 
-@query("N16_bridging", f"WITH {EDGES} SELECT src AS node, round(sum(CASE WHEN src % 4 <> dst % 4 THEN weight ELSE 0 END) / sum(weight), 8) AS bridging FROM u GROUP BY src")
+@query("N16_bridging", f"WITH {EDGES} SELECT src AS node, round(sum(CASE WHEN a.s_nationkey <> b.s_nationkey THEN weight ELSE 0 END) / sum(weight), 8) AS bridging FROM u JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst GROUP BY src")
 def _(t):
-    labels = t("supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).alias("community"))
+    labels = t("supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("community"))
     return G.bridging(edges(t), labels).select("node", F.round("bridging", 8).alias("bridging"))
 
 
@@ -291,12 +290,12 @@ def _(t):
 
 @query(
     "N18_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 1000 + (c_custkey * 31) % 400 AS b FROM customer), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
+    """WITH RECURSIVE e AS (SELECT c_nationkey AS a, 1000 + c_custkey AS b FROM customer), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
     SELECT node::BIGINT AS node, min(seen)::BIGINT AS component FROM r GROUP BY node""",
 )
 def _(t):
     c = t("customer")
-    e = c.select(F.col("c_nationkey").cast("long").alias("src"), (F.lit(1000) + (F.col("c_custkey") * 31) % 400).cast("long").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    e = c.select(F.col("c_nationkey").cast("long").alias("src"), (F.lit(1000) + F.col("c_custkey")).cast("long").alias("dst"), F.lit(1.0).alias("weight"))
     return G.min_labels(e)
 
 

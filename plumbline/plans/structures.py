@@ -32,15 +32,16 @@ def _(t):
     return P.json_leaves(t("events"), "event_id", "props").withColumn("ordinal", long("ordinal"))
 
 
-@query("S23_detail_candidates", r"SELECT page_id FROM pages WHERE regexp_extract(url, '^https?://([^/?#:]+)', 1) LIKE '%.com' AND NOT contains(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/en/')")
+@query("S23_detail_candidates", r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^(\w+)://', 1)) AS scheme, lower(regexp_extract(url, '^\w+://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^\w+://[^/?#]+([^?#]*)', 1)) AS path FROM pages)
+    SELECT page_id FROM p WHERE scheme IN ('http', 'https') AND (host = 'example.com' OR host LIKE '%.com') AND path <> '' AND path <> '/' AND NOT contains(path, 'login') AND NOT contains(path, 'logout')
+    AND NOT contains(path, '/en/') AND path NOT LIKE '/static/%' AND NOT regexp_matches(path, '\.(css|js|png|jpe?g|gif|pdf)$')""")
 def _(t):
-    path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
-    return t("pages").where(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).endswith(".com") & ~F.contains(path, F.lit("/en/"))).select("page_id")
+    return t("pages").where(P.is_detail_candidate(F.col("url"), ["example.com"], [".com"], ["login", "logout", "/en/"], ["/static/"])).select("page_id")
 
 
 def bylines(t):
-    """The first three words of each document, as names."""
-    return t("documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 3), " ").alias("name"))
+    """The capitalised word sequences of each whole document, as names."""
+    return t("documents").select("doc_id", F.explode(F.array_distinct(T.capitalised(F.col("text")))).alias("name"))
 
 
 @query("N06_merged_names")
@@ -65,21 +66,21 @@ def _(t):
 
 
 def weighted_terms(t):
-    """Turns of conversations over the 300 most frequent words, weighted by 1 + ln tf."""
+    """Turns of conversations over the words of at least two of them, weighted by 1 + ln tf."""
     tf = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc"), F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(300).select("term")
-    return tf.join(F.broadcast(vocabulary), "term", "left_semi").select("doc", "term", (1 + F.log("tf")).alias("value"))
+    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").select("term")
+    return tf.join(vocabulary, "term", "left_semi").select("doc", "term", (1 + F.log("tf")).alias("value"))
 
 
 @query("M01_topics")
 def _(t):
-    w, _ = IT.topics(weighted_terms(t), 4, rounds=8)
+    w, _ = IT.topics(weighted_terms(t), 4)
     return IT.topic_shares(w).select(F.col("doc").alias("id"), long("topic").alias("topic"), F.round("share", 6).alias("share"), "dominant")
 
 
 @query("M03_topic_labels")
 def _(t):
-    _, h = IT.topics(weighted_terms(t), 4, rounds=8)
+    _, h = IT.topics(weighted_terms(t), 4)
     return IT.topic_labels(h, 4)
 
 

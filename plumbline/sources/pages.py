@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -141,8 +142,14 @@ def json_leaves(df: DataFrame, key: str, payload: str) -> DataFrame:
     return kept.mapInPandas(flatten, f"key {dict(kept.dtypes)['key']}, ordinal int, path string, type string, text string").withColumnRenamed("key", key)
 
 
-def is_detail_candidate(url: Column, hosts: list[str], deny: list[str]) -> Column:
-    """A web address of one of the hosts whose path has none of the denied words."""
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
-    path = F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1))
-    return F.when(host.isin(hosts), ~F.exists(F.array(*[F.lit(d) for d in deny]), lambda d: F.contains(path, d))).otherwise(False)
+def is_detail_candidate(url: Column, hosts: list[str], endings: list[str], deny: list[str], closed: list[str], allow: list[str] | None = None) -> Column:
+    """Whether a web address may hold details: of the web, of a host named or ending so, with a path that is not the root, has none of the
+    denied words, begins with none of the closed folders (and with one of the allowed, if any) and is no asset. A null address is none."""
+    scheme, host = F.lower(F.regexp_extract(url, r"^(\w+)://", 1)), F.lower(F.regexp_extract(url, r"^\w+://([^/?#:]+)", 1))
+    path = F.lower(F.regexp_extract(url, r"^\w+://[^/?#]+([^?#]*)", 1))
+    ok = scheme.isin("http", "https") & (host.isin(hosts) | reduce(lambda a, e: a | host.endswith(e), endings, F.lit(False)))
+    ok &= ~path.isin("", "/") & ~path.rlike(r"\.(css|js|png|jpe?g|gif|pdf)$")
+    ok &= reduce(lambda a, d: a & ~F.contains(path, F.lit(d)), deny, F.lit(True)) & reduce(lambda a, d: a & ~path.startswith(d), closed, F.lit(True))
+    if allow:
+        ok &= reduce(lambda a, d: a | path.startswith(d), allow, F.lit(False))
+    return F.coalesce(ok, F.lit(False))

@@ -16,7 +16,11 @@ def test_text(spark):
     assert one(spark, "LADLE, Richard J.", T.given_first) == "Richard J. LADLE"
     assert one(spark, "a, b, c", T.given_first) == "a, b, c"
     assert one(spark, "ANA DE SOUZA", T.display_person_name) == "Ana de Souza"
-    assert one(spark, "as Silva et al. 2019 said (Lima, 2020) [1, 2] http://x.y z", T.scrub_citations) == "as said z"
+    for cited in ("(2019)", "(see Lima, 2020a; Reis 1999)", "www.x.org/a", "doi: 10.1234/ab.c", "10.1590/x-y", "SILVA COSTA, 2011", "[3; 4,5]", f"({'x' * 139} 2001)"):
+        assert one(spark, f"so {cited} it is", T.scrub_citations) == "so it is", cited
+    for kept in ("(no year)", "(12019)", "in 2019", "[a, 1]", f"({'x ' * 100}2001)", "10.5 or 2"):
+        assert one(spark, f"so {kept} it is", T.scrub_citations) == f"so {kept} it is", kept
+    assert one(spark, "as Silva et al. 2019 said (Lima, 2020) [1, 2] http://x.y z", T.scrub_citations) == "said z"
     assert one(spark, "2 of 30", T.first_int) == 2
     parts = spark.createDataFrame([(["a", "", "A", None, "b"],)], "p array<string>")
     assert parts.select(T.join_unique(F.col("p")).alias("y")).first().y == "a b"
