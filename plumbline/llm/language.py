@@ -15,11 +15,11 @@ from plumbline.llm.bpe import spans
 from plumbline.llm.common import held_out, read
 
 #: Learnt from at most so many labelled documents of a language, whole texts, whose lengths add up to so many characters.
-LEARN_DOCS, LEARN_CHARS = 40, 100_000
-#: Bits of a symbol: code points have 21.
-SYMBOL = 21
-#: Bytes of text that a task parses side by side.
-TOGETHER = 8 << 20
+LEARN_DOCS, LEARN_CHARS = 40, 40_000
+#: Bits of a symbol: code points have 21. An odd number spreads keys over a hash table.
+SYMBOL, ODD = 21, 0x9E3779B97F4A7C15
+#: Symbols of a piece, those for which all pieces go on beyond their ends together, and bytes of text that a task parses at once; none changes a result.
+PIECE, BEYOND, TOGETHER = 256, 48, 2 << 20
 SHARPNESS = 8.0
 
 
@@ -79,9 +79,10 @@ class Transitions:
             self.states[slot[mine]] = states[todo[mine]]
             todo = todo[~mine]
             at[todo] = (at[todo] + 1) & self.mask
+        self.seen = memoryview(self.keys)
 
     def first(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(ODD)) >> self.shift).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The state behind each key, -1 where there is none."""
@@ -97,6 +98,15 @@ class Transitions:
             open_ = open_[~hit & (there >= 0)]
         return found
 
+    def one(self, key: int) -> int:
+        """find for one key."""
+        keys, at = self.seen, (key * ODD & (1 << 64) - 1) >> int(self.shift)
+        while (there := keys[at]) != key:
+            if there < 0:
+                return -1
+            at = at + 1 & self.mask
+        return int(self.states[at])
+
 
 class CrossParser:
     """One suffix automaton per language over its labelled text.
@@ -135,31 +145,94 @@ class CrossParser:
             codes = codes[keep]
         return codes
 
+    def advance(self, state: np.ndarray, symbol: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind a symbol each, and whether a phrase begins with it: one ends where its match can't go on; a symbol that the labelled text lacks is one by itself."""
+        to = self.table.find(state << SYMBOL | symbol)
+        begins = (state == start) | (to < 0)
+        at = np.flatnonzero(to < 0)
+        again = self.table.find(start[at] << SYMBOL | symbol[at])
+        to[at] = np.where(again < 0, start[at], again)
+        return to, begins
+
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text with each language. All texts advance by a symbol at a time, the longest first, so that those still there are the first rows."""
+        """Phrases of each text with each language.
+
+        Texts are cut into pieces that are parsed side by side, each as if a phrase began with it. A piece's parse then goes on beyond its
+        end until one of its phrases begins where one does in the parse of the piece it has come to: from there both are the
+        same. So the parse of the whole text is followed from its first piece, as if it had not been cut. Where that takes more than BEYOND
+        symbols, as in text that repeats itself, the one parse that is followed goes on alone.
+        """
         sizes = np.array([len(c) for c in coded], np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        flat = np.concatenate([*(coded[i] for i in order), np.zeros(0, np.int64)]).astype(np.int64)
-        long = sizes[order]
-        begin = np.cumsum(long) - long
-        state = np.tile(self.starts, (len(coded), 1))
-        found = np.zeros(state.shape, np.int64)
-        there = np.searchsorted(-long, -np.arange(int(long[0]) if len(long) else 0), side="left")  # texts longer than each place
+        flat = np.concatenate([*coded, np.zeros(0, np.int64)]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        pieces = -(-sizes // PIECE)
+        first = np.cumsum(pieces) - pieces
+        text = np.repeat(np.arange(len(coded)), pieces)
+        begin = (ends - sizes)[text] + (np.arange(len(text)) - first[text]) * PIECE
+        end = np.minimum(begin + PIECE, ends[text])
         width = len(self.starts)
-        for j, k in enumerate(there.tolist()):
-            symbol = np.repeat(flat[begin[:k] + j], width)
-            now, count = state[:k].reshape(-1), found[:k].reshape(-1)
-            to = self.table.find(now << SYMBOL | symbol)
-            at = np.flatnonzero(to < 0)
-            start = self.starts[at % width]
-            again = self.table.find(start << SYMBOL | symbol[at])
-            # the phrase before ends, if there is one; a symbol without transition from the start is a phrase itself
-            count[at] += (now[at] != start).astype(np.int64) + (again < 0)
-            to[at] = np.where(again < 0, start, again)
-            state[:k] = to.reshape(k, width)
-        out = np.zeros(state.shape, np.int64)
-        out[order] = found + (state != self.starts)
-        return out
+        start = np.repeat(self.starts, len(text))  # languages one after the other, their pieces within
+        state, told = start.copy(), np.zeros((width, len(flat) + 1), bool)
+        for j in range(PIECE):
+            open_ = np.flatnonzero(begin + j < end)
+            if not len(open_):
+                break
+            at = open_ if len(open_) < len(text) else slice(None)
+            place = begin[at] + j
+            now = state.reshape(width, -1)[:, at].ravel()
+            to, begins = self.advance(now, np.tile(flat[place], width), np.repeat(self.starts, len(place)))
+            state.reshape(width, -1)[:, at] = to.reshape(width, -1)
+            told[:, place] = begins.reshape(width, -1)
+        # beyond the ends
+        lang, piece = np.divmod(np.arange(width * len(text)), max(1, len(text)))
+        over, place = np.zeros(len(lang), np.int64), end[piece]
+        open_ = (end < ends[text])[piece]
+        row = np.flatnonzero(open_)
+        for _ in range(BEYOND):
+            to, begins = self.advance(state[row], flat[place[row]], start[row])
+            met = begins & told[lang[row], place[row]]
+            state[row] = np.where(met, state[row], to)
+            over[row] += begins & ~met
+            place[row] += ~met
+            row_done = met | (place[row] == ends[text[piece[row]]])
+            open_[row[row_done]] = False
+            row = row[~row_done]
+            if not len(row):
+                break
+        # from the first piece of each text on
+        before = np.zeros((width, len(flat) + 1), np.int32)
+        np.cumsum(told[:, :-1], axis=1, out=before[:, 1:])
+        found = np.zeros((width, len(coded)), np.int64)
+        lang, doc = (x.ravel() for x in np.indices(found.shape))
+        at = (ends - sizes)[doc]
+        symbols, begun = memoryview(flat), [memoryview(x) for x in told]
+        while True:
+            on = np.flatnonzero(at < ends[doc])
+            if not len(on):
+                return found.T
+            k, d = lang[on], doc[on]
+            q = first[d] + (at[on] - (ends - sizes)[d]) // PIECE
+            r = k * len(text) + q
+            found[k, d] += before[k, end[q]] - before[k, at[on]] + over[r]
+            at[on] = place[r]
+            for i in np.flatnonzero(open_[r]).tolist():
+                more, at[on[i]] = self.alone(int(state[r[i]]), symbols, int(place[r[i]]), int(ends[d[i]]), int(self.starts[k[i]]), begun[k[i]])
+                found[k[i], d[i]] += more
+
+    def alone(self, state: int, symbols: memoryview, place: int, end: int, start: int, told: memoryview) -> tuple[int, int]:
+        """(phrases that begin, place reached) of a parse from a place until one of its phrases begins where told says, or the text ends."""
+        one, found = self.table.one, 0
+        for i in range(place, end):
+            c = symbols[i]
+            to = one(state << SYMBOL | c)
+            if state == start or to < 0:
+                if told[i]:
+                    return found, i
+                found += 1
+                if to < 0:
+                    to = one(start << SYMBOL | c)
+            state = start if to < 0 else to
+        return found, end
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.langs or not texts:
@@ -186,8 +259,9 @@ def labelled_text(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """
     fold = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    # a row a language, each of which the model holds an automaton of
     rates = fold.groupBy("lang").agg(((2 * LEARN_DOCS + 40) / F.count("*")).alias("rate"))
-    near = fold.join(rates, "lang").where(place < F.col("rate")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    near = fold.join(F.broadcast(rates), "lang").where(place < F.col("rate")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id")
     rows = near.withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEARN_DOCS}").orderBy("lang", "nth").select("lang", "text").toPandas()
     found = []

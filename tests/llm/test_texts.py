@@ -138,7 +138,7 @@ def test_cross_parsing_equals_brute_force():
     kanji = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2500))
     learnt = ("ana banana bandana " * 20, "".join(rng.choice("abcd ") for _ in range(900)), kanji)
     parser = language.CrossParser((("aa", learnt[0]), ("bb", learnt[1]), ("zh", learnt[2])))
-    texts = ["".join(rng.choice("abcnd z.") for _ in range(n)) for n in (1, 5, 255, 256, 257, 700, 100_000)] + ["banana banana", "zzz", "", kanji[900:1000] + "x" + kanji[5:900:3]]
+    texts = ["".join(rng.choice("abcnd z.") for _ in range(n)) for n in (1, 5, 255, 256, 257, 700, 2048, 100_000)] + ["banana banana", "zzz", "", kanji[900:1000] + "x" + kanji[5:900:3]]
     coded = [parser.codes(t) for t in texts]
     for codes, found in zip(coded, parser.phrases(coded), strict=True):
         assert found.tolist() == [brute_phrases(codes.tolist(), parser.codes(t).tolist()) for t in learnt]
