@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from plumbline.functions.text import digest_id
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A step of a path is a quoted key, with backslashes before quotes and backslashes, or a number.
 SEGMENT = r"\['((?:[^'\\]|\\.)*)'\]|\[(\d+)\]"
 
 
@@ -41,3 +44,145 @@ def gather(leaves: DataFrame, key: str, specs: dict[str, str], fields: dict[str,
         return F.min_by(F.when(wanted.isNotNull(), F.col("text")), wanted)
 
     return rows.groupBy(key, "kind", "prefix").agg(*[first(names).alias(field) for field, names in fields.items()])
+
+
+@dataclass(frozen=True)
+class Family:
+    """How records of a family are found and read.
+
+    spec is the path of key names to a record, dots between, * for any one; form is a constant, or * for the key that the last * stands for;
+    fields are columns with the leaf names that may fill them, the first one first. Records without a title are dropped unless untitled is set.
+    """
+
+    name: str
+    spec: str
+    fields: dict[str, list[str]]
+    form: str = "*"
+    untitled: bool = False
+    aliases: dict[str, str] = field(default_factory=dict)
+
+
+def matched(path: Column, families: list[Family]) -> Column:
+    """struct(family, prefix, wildcard) of the first family whose spec begins the path, null if none. Specs that begin with two plain names go before those that don't, each in the order given."""
+
+    def hit(f: Family) -> Column:
+        star = re.findall(r"\*", f.spec)
+        pattern = spec_pattern(f.spec)
+        parts = f.spec.split(".")
+        wild = F.element_at(F.filter(path_segments(F.regexp_extract(path, pattern, 1)), lambda s: ~s.rlike("^[0-9]+$")), len(parts) - parts[::-1].index("*")) if star else F.lit("")
+        return F.when(path.rlike(pattern), F.struct(F.lit(f.name).alias("family"), F.regexp_extract(path, pattern, 1).alias("prefix"), wild.alias("wildcard")))
+
+    return F.coalesce(*map(hit, sorted(families, key=lambda f: "*" in f.spec.split(".")[:2])))
+
+
+def under(leaves: DataFrame, key: str, families: list[Family]) -> DataFrame:
+    """(key, family, prefix, wildcard, ordinal, rest, text) of the leaves with text under a record."""
+    rows = leaves.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, "ordinal", "path", "text", matched(F.col("path"), families).alias("m")).where("m IS NOT NULL")
+    return rows.select(key, "m.*", "ordinal", F.expr("substring(path, length(m.prefix) + 1)").alias("rest"), "text")
+
+
+def shape(leaves: DataFrame, key: str, families: list[Family], source: str) -> DataFrame:
+    """One row per record: record_id, key, family, form, prefix and the families' columns; in one aggregation over the leaves.
+
+    A field takes the leaf with the fewest keys below the record, then the earliest of its names (case aside), then the smallest ordinal;
+    leaves inside nested lists are not looked at. The id is a digest of key, family, source and place, so it stays while the record stays there.
+    """
+    rows = under(leaves, key, families).withColumn("segments", path_segments(F.col("rest"))).where(F.size("segments") > 0)
+    rows = rows.withColumn("name", F.lower(F.element_at("segments", -1))).withColumn("flat", ~F.col("rest").rlike(r"\[\d+\]"))
+    of = {f.name: f for f in families}
+
+    def first(column: str) -> Column:
+        tests = [((F.col("family") == f) & (F.col("name") == n.lower()), i) for f, x in of.items() for i, n in enumerate(x.fields.get(column, []))]
+        place = reduce(lambda c, t: c.when(t[0], F.lit(t[1])), tests[1:], F.when(tests[0][0], F.lit(tests[0][1])))
+        wanted = F.when(F.col("flat") & place.isNotNull(), F.struct(F.size("segments"), place, "ordinal"))
+        return F.min_by(F.when(wanted.isNotNull(), F.col("text")), wanted).alias(column)
+
+    columns = list(dict.fromkeys(c for f in families for c in f.fields))
+    out = rows.groupBy(key, "family", "prefix", "wildcard").agg(*map(first, columns))
+    named = F.coalesce(*[F.when((F.col("family") == f.name) & (F.lower("wildcard") == a.lower()), F.lit(b)) for f in families for a, b in f.aliases.items()], *[F.when(F.col("family") == f.name, F.lit(f.form)) for f in families if f.form != "*"], F.lower("wildcard"))
+    keep = F.col("family").isin([f.name for f in families if f.untitled]) | F.col("title").isNotNull()
+    return out.where(keep).select(digest_id(F.col(key).cast("string"), F.col("family"), F.lit(source), F.col("prefix")).alias("record_id"), key, "family", named.alias("form"), "prefix", *columns)
+
+
+def people(leaves: DataFrame, key: str, families: list[Family], roles: dict[str, str], names: list[str], orders: list[str], lead: str) -> DataFrame:
+    """(key, family, prefix, ordinal, name, role) of the people in a record's collections; roles maps a collection to what its members are.
+
+    A person without a name is left out; the order is the number given, else the place in the collection; a lead flag of
+    SIM, TRUE or S makes the role responsible.
+    """
+    item = rf"\['({'|'.join(map(re.escape, roles))})'\](?:\[(\d+)\])?\['([^']*)'\]$"
+    rows = under(leaves, key, families).where(F.col("rest").rlike("(?i)" + item))
+    rows = rows.select(key, "family", "prefix", F.lower(F.regexp_extract("rest", "(?i)" + item, 1)).alias("group"), F.coalesce(F.regexp_extract("rest", "(?i)" + item, 2).try_cast("int"), F.lit(0)).alias("place"), F.lower(F.regexp_extract("rest", "(?i)" + item, 3)).alias("field"), "ordinal", "text")
+    pick = lambda wanted: F.min_by(F.when(F.col("field").isin(wanted), F.col("text")), F.when(F.col("field").isin(wanted), F.struct(F.array_position(F.array(*map(F.lit, wanted)), F.col("field")), F.col("ordinal"))))
+    each = rows.groupBy(key, "family", "prefix", "group", "place").agg(pick(names).alias("name"), pick(orders).alias("order"), pick([lead]).alias("lead")).where("name IS NOT NULL")
+    role = F.element_at(F.create_map(*[F.lit(x) for r in roles.items() for x in (r[0].lower(), r[1])]), F.col("group"))
+    number = F.when(F.col("order").rlike("^[0-9]+$"), F.col("order").try_cast("int")).otherwise(F.col("place") + 1)
+    return each.select(key, "family", "prefix", number.alias("ordinal"), "name", F.when(F.upper(F.coalesce("lead", F.lit(""))).isin("SIM", "TRUE", "S"), "responsible").otherwise(role).alias("role"))
+
+
+def areas(leaves: DataFrame, key: str, families: list[Family], begins: str, levels: list[str]) -> DataFrame:
+    """(key, family, prefix, areas): of each area object of a record the most specific level that is filled, once each, in the order they come."""
+    item = rf"(?i)(\['{re.escape(begins)}[^']*'\])\['({'|'.join(map(re.escape, levels))})'\]$"
+    rows = under(leaves, key, families).where(F.col("rest").rlike(item)).withColumn("object", F.regexp_extract("rest", r"^(.*)\['[^']*'\]$", 1))
+    place = F.array_position(F.array(*map(F.lit, levels)), F.lower(F.regexp_extract("rest", item, 2)))
+    best = rows.groupBy(key, "family", "prefix", "object").agg(F.min_by("text", place).alias("area"), F.min("ordinal").alias("at"))
+    once = best.groupBy(key, "family", "prefix", "area").agg(F.min("at").alias("at"))
+    return once.groupBy(key, "family", "prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "area"))), lambda x: x["area"]).alias("areas"))
+
+
+def career(ties: DataFrame, by: list[str]) -> DataFrame:
+    """Per career of ties(by, kind, role, start, end, ordinal): year, year_end, status, form and nature.
+
+    It begins with the first start; a tie with a start and no end makes it current, without an end of its own; form and
+    nature are those of the last current tie, or of the last tie if none is.
+    """
+    open_ = F.col("start").isNotNull() & F.col("end").isNull()
+    order = F.struct(F.coalesce("start", F.lit(0)), F.coalesce("end", F.lit(9999)), F.col("ordinal"))
+    said = F.struct("kind", "role")
+    out = ties.groupBy(*by).agg(
+        F.min("start").alias("year"), F.max("end").alias("last"), F.bool_or(open_).alias("current"), F.max_by(F.when(open_, said), F.when(open_, order)).alias("now"), F.max_by(said, order).alias("then")
+    )
+    tie = F.coalesce("now", "then")
+    kind = F.coalesce(F.nullif(tie["kind"], F.lit("")), F.lit("appointment"))
+    return out.select(*by, "year", F.when(~F.col("current"), F.col("last")).alias("year_end"), F.when(F.col("current"), "current").when(F.col("last").isNotNull(), "past").otherwise("").alias("status"), kind.alias("form"), F.coalesce(tie["role"], F.lit("")).alias("nature"))
+
+
+def search_text(parts: list[Column]) -> Column:
+    """Everything that a text search should hit: the parts that are filled, one space between, lower case."""
+    return F.lower(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), " "))
+
+
+#: A row of one cell that names a term: a year and a half.
+TERM = r"^(\d{4})\.[1-9]$"
+
+
+def terms_of_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows(by, order, cells) with term, the last row of one cell before that names one, and latest, the largest on the page; such rows go."""
+    is_term = (F.size("cells") == 1) & F.col("cells")[0].rlike(TERM)
+    page = Window.partitionBy(*by)
+    run = page.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(is_term, F.col("cells")[0])
+    return rows.withColumn("term", F.last(mark, ignorenulls=True).over(run)).withColumn("latest", F.max(mark).over(page)).where(~is_term)
+
+
+def course_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, code, title, year, status, hours) of a page's table of courses: of three cells at least, no header, with a name; the latest term is current."""
+    t = terms_of_rows(rows, by, order).where((F.size("cells") >= 3) & ~F.lower(F.col("cells")[0]).startswith("disciplina") & (F.col("cells")[1] != ""))
+    return t.select(*by, F.col("cells")[0].alias("code"), F.col("cells")[1].alias("title"), F.substring("term", 1, 4).try_cast("int").alias("year"), F.when(F.col("term") == F.col("latest"), "current").otherwise("past").alias("status"), F.coalesce(F.try_element_at(F.filter(F.slice("cells", 3, 100_000), lambda c: c.rlike(r"^\d+\s*h")), F.lit(1)), F.lit("")).alias("hours"))
+
+
+def project_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, code, title, year, area) of a page's table of projects; without a term, the year is the end of the code."""
+    head = F.lower(F.col("cells")[0])
+    t = terms_of_rows(rows, by, order).where((F.size("cells") >= 2) & ~head.rlike("^(projeto|código|codigo|título|titulo)") & (F.col("cells")[1] != ""))
+    year = F.coalesce(F.substring("term", 1, 4), F.regexp_extract(F.col("cells")[0], r"((?:19|20)\d{2})$", 1)).try_cast("int")
+    area = F.try_element_at("cells", F.lit(3))
+    return t.select(*by, F.col("cells")[0].alias("code"), F.col("cells")[1].alias("title"), year.alias("year"), F.when((F.lower(area) != "detalhes") & (area != ""), area).alias("area"))
+
+
+def mentoring_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, title, year, org, coordinator): a coordinator named in the title's end is split from it."""
+    coordinator = r"(?i)\s*\(?coordenador(?:a|\(a\))?\s*:\s*([^)]+)\)?\s*$"
+    t = terms_of_rows(rows, by, order).where((F.size("cells") >= 1) & ~F.lower(F.col("cells")[0]).rlike("^(título|titulo)"))
+    title = F.trim(F.regexp_replace(F.col("cells")[0], coordinator, ""))
+    return t.select(*by, title.alias("title"), F.substring("term", 1, 4).try_cast("int").alias("year"), F.coalesce(F.try_element_at("cells", F.lit(2)), F.lit("")).alias("org"), F.trim(F.regexp_extract(F.col("cells")[0], coordinator, 1)).alias("coordinator")).where("title <> ''")
