@@ -1,6 +1,6 @@
 """Every registered query and its DuckDB SQL."""
 
-from plumbline.plans import extraction, facts, measures, recording, relational, structures  # noqa: F401  they register their queries
+from plumbline.plans import extraction, facts, measures, projection, recording, relational, structures  # noqa: F401  they register their queries
 from plumbline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

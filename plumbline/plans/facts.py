@@ -485,14 +485,6 @@ def _(t):
     return people.unionByName(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("'org:nation-' || n_nationkey AS src", "'org:region-' || r_regionkey AS dst", "'part_of' AS relation"))
 
 
-@query("N09_valid_edges", "SELECT l_orderkey AS src, l_suppkey AS dst, count(*)::BIGINT AS weight FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_orderkey <> l_suppkey GROUP BY ALL")
-def _(t):
-    known = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("src"))
-    ends = t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("dst"))
-    e = t("lineitem").where("l_orderkey <> l_suppkey").groupBy(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("weight"))
-    return e.join(ends, "dst", "left_semi").join(known, "src", "left_semi").select("src", "dst", "weight")
-
-
 @query("N11_adjacency", f"WITH {EDGES} SELECT src, dst, weight FROM u")
 def _(t):
     return G.both_ways(edges(t))
