@@ -186,3 +186,10 @@ def mentoring_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     t = terms_of_rows(rows, by, order).where((F.size("cells") >= 1) & ~F.lower(F.col("cells")[0]).rlike("^(título|titulo)"))
     title = F.trim(F.regexp_replace(F.col("cells")[0], coordinator, ""))
     return t.select(*by, title.alias("title"), F.substring("term", 1, 4).try_cast("int").alias("year"), F.coalesce(F.try_element_at("cells", F.lit(2)), F.lit("")).alias("org"), F.trim(F.regexp_extract(F.col("cells")[0], coordinator, 1)).alias("coordinator")).where("title <> ''")
+
+
+def matching_leaves(leaves: DataFrame, key: str, families: list[Family], pattern: str) -> DataFrame:
+    """(key, family, prefix, texts): the texts of a record's leaves whose name, case aside, has the pattern, in their order; leaves in lists too."""
+    name = F.lower(F.element_at(path_segments(F.col("rest")), -1))
+    rows = under(leaves, key, families).where(name.rlike(pattern))
+    return rows.groupBy(key, "family", "prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]).alias("texts"))
