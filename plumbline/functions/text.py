@@ -193,3 +193,9 @@ def specificity(kind: Column) -> Column:
 def project_state(x: Column) -> Column:
     """The state's name, whatever its case; unknown ones in lower case."""
     return _looked_up(F.upper(x), PROJECT_STATES, F.lower(x))
+
+
+def is_current(call: Column, kind: Column, active: Column, start: Column, end: Column, now: int, window: int = 2) -> Column:
+    """Whether a piece of work goes on: an open call does; what is neither of a current kind nor active doesn't; else its end tells, else a start in the
+    last years, else both flags. Null years are unknown."""
+    return F.when(call, True).when(~(kind | active), False).when(end.isNotNull(), end >= now).when(start.isNotNull(), start >= now - window).otherwise(active & kind)

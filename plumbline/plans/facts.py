@@ -196,11 +196,12 @@ def _(t):
     return t("part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "p_type")
 
 
-@query("A22_graph_summary", f"WITH {EDGES} SELECT 'nodes' AS kind, count(DISTINCT src)::BIGINT AS n, NULL::DOUBLE AS weight FROM u UNION ALL SELECT 'edges', count(*)::BIGINT, sum(weight) FROM g")
+@query("A22_graph_summary", f"WITH {EDGES} SELECT 'nodes' AS kind, count(DISTINCT src)::BIGINT AS n, NULL::DOUBLE AS weight FROM u UNION ALL SELECT 'edges ' || CASE WHEN a.s_nationkey = b.s_nationkey THEN 'within' ELSE 'across' END, count(*)::BIGINT, sum(weight) FROM g JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst GROUP BY 1")
 def _(t):
-    e = edges(t)
+    e, unit = edges(t).checkpoint(), t("supplier").select("s_suppkey", "s_nationkey")
     nodes = G.both_ways(e).select("src").distinct().agg(F.lit("nodes").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("double").alias("weight"))
-    return nodes.unionByName(e.agg(F.lit("edges").alias("kind"), F.count("*").alias("n"), F.sum("weight").alias("weight")))
+    relation = F.concat(F.lit("edges "), F.when(F.col("ua") == F.col("ub"), "within").otherwise("across"))
+    return nodes.unionByName(e.join(unit.toDF("src", "ua"), "src").join(unit.toDF("dst", "ub"), "dst").groupBy(relation.alias("kind")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")))
 
 
 @query("A24_campaign_counts", "SELECT o_orderstatus AS status, count(*)::BIGINT AS n, count(*) FILTER (o_orderpriority = '1-URGENT')::BIGINT AS selected, count(DISTINCT o_custkey)::BIGINT AS recipients FROM orders GROUP BY o_orderstatus")
@@ -438,9 +439,15 @@ def _(t):
     return t("documents").select("doc_id", long(F.size(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z][a-z0-9+./-]{2,}"), F.lit(0)))).alias("tokens"))
 
 
-@query("T33_is_current", "SELECT o_orderkey, o_orderstatus = 'O' OR year(o_orderdate) >= 2000 AS is_current FROM orders")
+@query(
+    "T33_is_current",
+    """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN true WHEN NOT (o_orderpriority IN ('2-HIGH', '3-MEDIUM') OR o_orderstatus = 'O') THEN false WHEN o_orderstatus = 'F' THEN year(o_orderdate) + 1 >= 2000 WHEN o_orderstatus = 'O' OR o_orderpriority <> '2-HIGH' THEN year(o_orderdate) >= 1998
+    ELSE o_orderstatus = 'O' AND o_orderpriority IN ('2-HIGH', '3-MEDIUM') END AS is_current FROM orders""",
+)
 def _(t):
-    return t("orders").select("o_orderkey", ((F.col("o_orderstatus") == "O") | (F.year("o_orderdate") >= 2000)).alias("is_current"))
+    kind, state, year = F.col("o_orderpriority"), F.col("o_orderstatus"), F.year("o_orderdate")
+    o = t("orders").withColumn("start", F.when((state == "O") | (kind != "2-HIGH"), year)).withColumn("end", F.when(state == "F", year + 1))
+    return o.select("o_orderkey", T.is_current(kind == "1-URGENT", kind.isin("2-HIGH", "3-MEDIUM"), state == "O", F.col("start"), F.col("end"), 2000).alias("is_current"))
 
 
 SKILLS = ["license", "software", "version", "data"]
@@ -539,11 +546,12 @@ def _(t):
 
 @query(
     "Q08_grouped_neighbours",
-    f"""WITH {EDGES}, r AS (SELECT src, s_nationkey AS grp, dst, weight, row_number() OVER (PARTITION BY src, s_nationkey ORDER BY weight DESC, dst) AS k FROM u JOIN supplier ON s_suppkey = dst) SELECT src, grp, dst, weight FROM r WHERE k <= 2""",
+    f"""WITH {EDGES}, r AS (SELECT src, s_nationkey AS grp, dst, weight, row_number() OVER (PARTITION BY src, s_nationkey ORDER BY weight DESC, dst) AS k, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS j FROM u JOIN supplier ON s_suppkey = dst) SELECT src, grp, dst, weight FROM r WHERE k <= 120 AND j <= 400""",
 )
 def _(t):
     e = G.both_ways(edges(t)).join(t("supplier"), F.col("s_suppkey") == F.col("dst")).select("src", F.col("s_nationkey").alias("grp"), "dst", "weight")
-    return R.top_per_group(e, ["src", "grp"], [F.col("weight").desc(), F.col("dst")], 2).drop("place")
+    shown = R.top_per_group(e, ["src"], [F.col("weight").desc(), F.col("dst")], 400).drop("place")
+    return R.top_per_group(shown, ["src", "grp"], [F.col("weight").desc(), F.col("dst")], 120).drop("place")
 
 
 @query(

@@ -168,16 +168,34 @@ def _(t):
 
 @query(
     "F08_audience_builder",
-    """SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 1000 AND lower(c_name || ' ' || c_mktsegment) LIKE '%customer%'
-    AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""",
+    """WITH n AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS v FROM orders GROUP BY o_custkey) SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN n ON o_custkey = c_custkey
+    WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND n_regionkey IN (0, 1, 2, 3) AND c_acctbal > 1000 AND coalesce(c_name, '') <> '' AND coalesce(n, 0) >= 2 AND coalesce(v, 0) >= 100000 AND lower(c_name || ' ' || c_mktsegment || ' ' || n_name) LIKE '%customer%' AND lower(c_name || ' ' || c_mktsegment || ' ' || n_name) LIKE '%nation%'
+    AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 450000)""",
 )
 def _(t):
-    clauses = [F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_acctbal") > 1000, F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).contains("customer")]
-    out = t("customer")
+    n = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast(MONEY)).alias("v"))
+    people = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(n, F.col("o_custkey") == F.col("c_custkey"), "left").drop("o_custkey")
+    return audience(people, t("orders"), segments=["BUILDING", "MACHINERY"], regions=[0, 1, 2, 3], balance=1000, named=True, least_orders=2, least_value=100_000, keywords=["customer", "nation"], has=["o_totalprice > 100000", "o_orderpriority LIKE '1%'"], lacks=["o_orderstatus = 'P' AND o_totalprice > 450000"]).select("c_custkey")
+
+
+def audience(people, orders, segments=None, regions=None, balance=None, named=False, least_orders=None, least_value=None, keywords=(), has=(), lacks=()):
+    """People who meet every clause given; a clause that is not given asks nothing."""
+    text = F.lower(F.concat_ws(" ", "c_name", "c_mktsegment", "n_name"))
+    clauses = [
+        F.col("c_mktsegment").isin(segments) if segments else None,
+        F.col("n_regionkey").isin(regions) if regions else None,
+        F.col("c_acctbal") > balance if balance is not None else None,
+        F.coalesce("c_name", F.lit("")) != "" if named else None,
+        F.coalesce("n", F.lit(0)) >= least_orders if least_orders is not None else None,
+        F.coalesce("v", F.lit(0)) >= least_value if least_value is not None else None,
+        *[F.contains(text, F.lit(k.lower())) for k in keywords],
+    ]
     for clause in clauses:
-        out = out.where(clause)
-    mine = F.col("c_custkey") == F.col("o_custkey")
-    return out.join(t("orders").where("o_totalprice > 100000"), mine, "left_semi").join(t("orders").where("o_orderstatus = 'P'"), mine, "left_anti").select("c_custkey")
+        people = people if clause is None else people.where(clause)
+    for how, tests in (("left_semi", has), ("left_anti", lacks)):
+        for test in tests:
+            people = people.join(orders.where(test).select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), how)
+    return people
 
 
 @query("F11_defaults", "SELECT event_type, coalesce(nullif(props, '{}'), 'none') AS props, coalesce(value, 0) + 0.0 AS value, event_id FROM events")
@@ -203,13 +221,24 @@ def _(t):
 
 @query(
     "A01_facets",
-    """SELECT 'source' AS facet, source AS a, '' AS b, count(*)::BIGINT AS n FROM documents GROUP BY source UNION ALL SELECT 'lang_source', lang, source, count(*)::BIGINT FROM documents GROUP BY lang, source
-    UNION ALL SELECT 'lang', lang, '', count(*)::BIGINT FROM documents GROUP BY lang""",
+    """WITH l AS (SELECT l_returnflag AS family, l_linestatus AS form, year(l_shipdate) AS y, l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT 'family' AS facet, family AS a, '' AS b, count(*)::BIGINT AS n, min(y)::BIGINT AS first_year, max(y)::BIGINT AS last_year FROM l GROUP BY family UNION ALL SELECT 'form', family, form, count(*), NULL, NULL FROM l GROUP BY ALL
+    UNION ALL SELECT 'year', y::VARCHAR, family, count(*), NULL, NULL FROM l GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'org', l_suppkey::VARCHAR, '', count(*) AS n, NULL, NULL FROM l GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 40)
+    UNION ALL SELECT * FROM (SELECT 'venue', p_brand, '', count(*) AS n, NULL, NULL FROM l WHERE family = 'A' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 40)""",
 )
 def _(t):
-    sets = t("documents").groupingSets([["lang"], ["source"], ["lang", "source"]], "lang", "source").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
-    facet = F.when(F.col("g") == 0, "lang_source").when(F.col("g") == 1, "lang").otherwise("source")
-    return sets.select(facet.alias("facet"), F.when(F.col("g") == 2, F.col("source")).otherwise(F.col("lang")).alias("a"), F.when(F.col("g") == 0, F.col("source")).otherwise("").alias("b"), "n")
+    lines = t("lineitem").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    x = lines.select(F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("form"), F.year("l_shipdate").alias("y"), "l_suppkey", "p_brand")
+    # one aggregation for the closed facets; the open ones keep their 40 most frequent values
+    sets = x.groupingSets([["family"], ["family", "form"], ["family", "y"]], "family", "form", "y").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.min(x["y"]).alias("lo"), F.max(x["y"]).alias("hi"))
+    facet = F.when(F.col("g") == 3, "family").when(F.col("g") == 1, "form").otherwise("year")
+    closed = sets.select(
+        facet.alias("facet"), F.when(F.col("g") == 2, F.col("y").cast("string")).otherwise(F.col("family")).alias("a"), F.when(F.col("g") == 1, F.col("form")).when(F.col("g") == 2, F.col("family")).otherwise("").alias("b"),
+        "n", F.when(F.col("g") == 3, long("lo")).alias("first_year"), F.when(F.col("g") == 3, long("hi")).alias("last_year"),
+    )
+    none = F.lit(None).cast("long")
+    top = lambda df, facet, c: df.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), c).limit(40).select(F.lit(facet).alias("facet"), F.col(c).cast("string").alias("a"), F.lit("").alias("b"), "n", none.alias("first_year"), none.alias("last_year"))
+    return closed.unionByName(top(x, "org", "l_suppkey")).unionByName(top(x.where("family = 'A'"), "venue", "p_brand"))
 
 
 @query(
@@ -226,26 +255,45 @@ def _(t):
 
 @query(
     "A03_metrics",
-    """SELECT s_suppkey, count(l_orderkey)::BIGINT AS n_lines, count(*) FILTER (l_returnflag = 'R')::BIGINT AS n_returned, count(DISTINCT p_type)::BIGINT AS n_types, max(year(l_shipdate))::BIGINT AS latest,
-    coalesce(sum(l_quantity::DECIMAL(18,2)), 0)::DOUBLE AS quantity FROM supplier LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON s_suppkey = l_suppkey GROUP BY s_suppkey""",
+    """SELECT s_suppkey, count(l_orderkey)::BIGINT AS n_lines, count(*) FILTER (l_returnflag = 'R')::BIGINT AS n_returned, count(*) FILTER (l_returnflag = 'A')::BIGINT AS n_accepted, count(*) FILTER (l_returnflag = 'N')::BIGINT AS n_kept, count(*) FILTER (l_linestatus = 'O')::BIGINT AS n_open,
+    count(DISTINCT p_type)::BIGINT AS n_types, count(DISTINCT p_brand)::BIGINT AS n_brands, count(DISTINCT l_orderkey)::BIGINT AS n_orders, max(year(l_shipdate))::BIGINT AS latest, min(year(l_shipdate))::BIGINT AS earliest, coalesce(sum(l_quantity::DECIMAL(18,2)), 0)::DOUBLE AS quantity,
+    coalesce(sum(l_extendedprice::DECIMAL(18,2)), 0)::DOUBLE AS revenue, count(*) FILTER (p_type = 'PROMO' AND year(l_shipdate) >= 2000)::BIGINT AS n_current FROM supplier LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON s_suppkey = l_suppkey GROUP BY s_suppkey""",
 )
 def _(t):
-    lines = t("lineitem").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    agg = lines.groupBy("l_suppkey").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"), F.countDistinct("p_type").alias("n_types"), F.max(F.year("l_shipdate")).cast("long").alias("latest"), F.sum(F.col("l_quantity").cast(MONEY)).cast("double").alias("quantity")
-    )
-    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return t("supplier").join(agg, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", zero("n_lines", 0), zero("n_returned", 0), zero("n_types", 0), "latest", zero("quantity", 0.0))
+    lines = t("lineitem").join(t("part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    flag, year = F.col("l_returnflag"), F.year("l_shipdate")
+    total = lambda c: F.sum(F.col(c).cast(MONEY)).cast("double")
+    counts = {"n_lines": F.count("*"), "n_returned": F.count_if(flag == "R"), "n_accepted": F.count_if(flag == "A"), "n_kept": F.count_if(flag == "N"), "n_open": F.count_if(F.col("l_linestatus") == "O"), "n_current": F.count_if((F.col("p_type") == "PROMO") & (year >= 2000))}
+    # types and brands are closed vocabularies; orders are counted from one row each
+    sets = {"n_types": F.size(F.collect_set("p_type")), "n_brands": F.size(F.collect_set("p_brand"))}
+    agg = lines.groupBy("l_suppkey").agg(*[c.alias(n) for n, c in (counts | sets).items()], long(F.max(year)).alias("latest"), long(F.min(year)).alias("earliest"), total("l_quantity").alias("quantity"), total("l_extendedprice").alias("revenue"))
+    orders = t("lineitem").select("l_suppkey", "l_orderkey").distinct().groupBy(F.col("l_suppkey").alias("s")).agg(F.count("*").alias("n_orders"))
+    out = t("supplier").join(agg, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(orders, F.col("s_suppkey") == F.col("s"), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [*counts, *sets, "n_orders"]]
+    return out.select("s_suppkey", *zero, "latest", "earliest", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("quantity", "revenue")])
 
 
 @query(
     "A04_global_metrics",
-    """SELECT 'orders' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'open_share', round(avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END), 8) FROM orders
-    UNION ALL SELECT 'customers', count(DISTINCT o_custkey)::DOUBLE FROM orders""",
+    """WITH o AS (SELECT count(*)::DOUBLE AS orders, round(avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END), 8)::DOUBLE AS open_share, count(DISTINCT o_custkey)::DOUBLE AS customers, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders),
+    l AS (SELECT count(*)::DOUBLE AS lines, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, count(DISTINCT l_suppkey)::DOUBLE AS suppliers, count(DISTINCT l_partkey)::DOUBLE AS parts, round(avg((l_returnflag = 'R')::INT), 8)::DOUBLE AS returned_share, min(year(l_shipdate))::DOUBLE AS first_year, max(year(l_shipdate))::DOUBLE AS last_year FROM lineitem),
+    r AS (SELECT l_suppkey, sum(l_extendedprice::DECIMAL(18,2)) AS r FROM lineitem GROUP BY l_suppkey), c AS (SELECT round(max(r)::DOUBLE / sum(r)::DOUBLE, 8) AS top_share, round(sum(r::DOUBLE * r::DOUBLE) / (sum(r)::DOUBLE * sum(r)::DOUBLE), 8) AS hhi FROM r)
+    UNPIVOT (SELECT * FROM o, l, c) ON orders, open_share, customers, value, lines, quantity, suppliers, parts, returned_share, first_year, last_year, top_share, hhi INTO NAME metric VALUE value""",
 )
 def _(t):
-    one = t("orders").agg(F.count("*").cast("double").alias("orders"), F.round(F.avg((F.col("o_orderstatus") == "O").cast("double")), 8).alias("open_share"), F.countDistinct("o_custkey").cast("double").alias("customers"))
-    return one.unpivot([], ["orders", "open_share", "customers"], "metric", "value")
+    o, l = t("orders"), t("lineitem")
+    n = lambda c: c.cast("double")
+    share = lambda c: F.round(F.avg(n(c)), 8)
+    distinct = lambda df, c: df.select(c).distinct().agg(n(F.count(c)).alias(c))
+    deals = o.agg(n(F.count("*")).alias("orders"), share(F.col("o_orderstatus") == "O").alias("open_share"), n(F.sum(F.col("o_totalprice").cast(MONEY))).alias("value"))
+    lines = l.agg(n(F.count("*")).alias("lines"), n(F.sum(F.col("l_quantity").cast(MONEY))).alias("quantity"), share(F.col("l_returnflag") == "R").alias("returned_share"), n(F.min(F.year("l_shipdate"))).alias("first_year"), n(F.max(F.year("l_shipdate"))).alias("last_year"))
+    r = l.groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("r"))
+    total = n(F.sum("r"))
+    shares = r.agg(F.round(n(F.max("r")) / total, 8).alias("top_share"), F.round(F.sum(n(F.col("r")) * n(F.col("r"))) / (total * total), 8).alias("hhi"), n(F.count("*")).alias("suppliers"))
+    out = deals
+    for one in (lines, shares, distinct(o, "o_custkey").toDF("customers"), distinct(l, "l_partkey").toDF("parts")):
+        out = out.join(F.broadcast(one))  # rows of one each
+    return out.unpivot([], out.columns, "metric", "value")
 
 
 @query("A11_distinct_per_group", "SELECT l_suppkey, count(DISTINCT l_partkey)::BIGINT AS parts FROM lineitem GROUP BY l_suppkey")
@@ -317,10 +365,13 @@ def _(t):
     return t("events").where("value IS NOT NULL").groupBy(F.least(F.lit(23), F.greatest(F.lit(0), F.floor(F.col("value") / 100 * 24))).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("A37_counts", "SELECT 'orders' AS name, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'documents', count(*)::BIGINT FROM documents UNION ALL SELECT 'events', count(*)::BIGINT FROM events UNION ALL SELECT 'pages', count(*)::BIGINT FROM pages")
+ALL_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("A37_counts", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*)::BIGINT AS n FROM {n}" for n in ALL_TABLES))
 def _(t):
     out = None
-    for name in ("orders", "documents", "events", "pages"):
+    for name in ALL_TABLES:
         one = t(name).agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n")
         out = one if out is None else out.union(one)
     return out
@@ -366,6 +417,13 @@ def _(t):
     return last.select("event_type", F.date_format("m.ts", "yyyy-MM-dd HH:mm:ss").alias("last_at"), F.col("m.event_id").alias("event_id"))
 
 
+@query("S04_history", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type IN ('error', 'source.error') ORDER BY ts DESC, event_id DESC LIMIT 25")
+def _(t):
+    mine = t("events").where(F.substring_index("event_type", ".", -1) == "error")  # the bare name and the one with its prefix
+    newest = mine.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(25)  # the page of a history
+    return newest.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("T16_first_int", r"SELECT event_id, coalesce(try_cast(nullif(regexp_extract(props, '(\d+)', 1), '') AS BIGINT), 0) AS slots FROM events")
 def _(t):
     return t("events").select("event_id", first_int(F.col("props")).alias("slots"))
