@@ -65,7 +65,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 class SubwordClassifier:
     """Vectors of hashed features, averaged over a document, with a softmax output; stochastic gradient descent."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray):
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, learnt: dict[str, np.ndarray] | None = None):
+        """learnt, if given, takes the vectors, the output and its bias."""
         rng = np.random.default_rng(SEED)
         vector, output, bias = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)), np.zeros((2, DIM)), np.zeros(2)
         used = np.zeros(BUCKETS + 1, bool)
@@ -90,6 +91,8 @@ class SubwordClassifier:
         #: The output is linear in the average, so each feature needs one number only.
         self.worth = (vector @ (output[1] - output[0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
+        if learnt is not None:
+            learnt |= {"vector": vector, "output": output, "bias": bias}
 
 
 class Scorer:
@@ -155,7 +158,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Subwor
 
 
 def scored(docs: DataFrame, model: SubwordClassifier) -> DataFrame:
-    """docs with a column score (0 to 1); null and empty texts score as texts without words. No shuffle."""
+    """docs with a column score (0 to 1), in place of one of that name; null and empty texts score as texts without words, repeated
+    rows alike; an empty table gives an empty one. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -173,7 +177,8 @@ def quality(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESH
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier learnt from labels accepts, with the columns of docs."""
+    """The rows of docs that the classifier learnt from labels accepts, with the columns of docs whatever their names; repeated rows stay
+    repeated, null and empty texts are judged as texts without words, an empty table gives an empty one."""
     model = learn(docs, labels)
     return scored(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model).where(F.col("score") >= threshold).select("doc.*")
 

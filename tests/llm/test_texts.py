@@ -225,3 +225,69 @@ def test_every_gram_of_long_words_counts():
         scorer = quality.Scorer(model)
         assert math.isclose(scorer.score(text), 1 / (1 + math.exp(-(model.bias + model.worth[ids].astype(float) @ share))), rel_tol=1e-9)
         assert max(map(len, scorer.number)) <= quality.LONG
+
+
+def test_empty_tables(spark):
+    none = odd_documents(spark).where("doc_id < 0")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert bpe.encode_documents(none, bpe.default_vocabulary()).count() == 0
+    assert token_counts.token_counts(none, token_counts.default_pieces()).count() == 0
+    assert secrets.secret_spans(none).count() == 0
+    assert language.languages(none, (("en", "the text"),)).count() == 0
+    assert quality.quality(none, quality.learn(none, labels)).count() == 0
+    assert toxicity.toxicity(none, toxicity.learn(none, labels)).count() == 0
+    assert quality.good_documents(none, labels).count() == 0
+
+
+def test_good_documents_keep_clashing_columns(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad junk @@ ") * 20, "x", None, "en", "k") for i in range(40)], CLASH)
+    twice = docs.union(docs.where("doc_id = 1"))
+    kept = quality.good_documents(twice, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([*range(1, 40, 2), 1])
+    out = bpe.encode_documents(kept, bpe.default_vocabulary(), with_ids=True)
+    assert out.count() == 21
+
+
+def test_token_counts_of_ties():
+    """Of segmentations of equal score the one of fewest pieces counts; none beats another by more than rounding."""
+    pieces = token_counts.UnigramPieces.__new__(token_counts.UnigramPieces)
+    real = token_counts.UnigramPieces(token_counts.default_pieces())
+    pieces.__dict__.update(real.__dict__)
+    words = ["aaaa", "abab", "banana", "\u2581the", "zzzzzz"]
+    counts, scores = pieces.count(words)
+    for w, n, s in zip(words, counts, scores, strict=True):
+        best = {0: (0.0, 0)}
+        for j in range(1, len(w) + 1):
+            found = [(best[i][0] + real.logp[w[i:j]], best[i][1] + 1) for i in range(j) if i in best and w[i:j] in real.logp]
+            if found:
+                top = max(x for x, _ in found)
+                best[j] = (top, min(k for x, k in found if abs(x - top) < 1e-9))
+        assert math.isclose(best[len(w)][0], s, abs_tol=1e-9) and best[len(w)][1] == n
+
+
+def test_machine_score_equals_slow_sum():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "toolong", "toolarge"], 4)) for _ in range(60)]
+    y = rng.integers(0, 2, 60)
+    model = toxicity.FactorizationMachine([toxicity.terms(t) for t in texts], y)
+    scorer = toxicity.Scorer(model)
+    at = {t: i for i, t in enumerate(model.term.tolist())}
+    for text in (*texts[:10], "", "unknown words"):
+        x = [at[t] for t in toxicity.terms(text).tolist() if t in at]
+        logit = model.bias + sum(model.weight[i] for i in x) + sum(float(model.factor[i] @ model.factor[j]) for k, i in enumerate(x) for j in x[:k])
+        assert math.isclose(scorer.score(text), 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+
+
+def test_classifier_worth_equals_softmax():
+    """One number a feature says what the average vector and the softmax output say."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["good", "fine", "junk", "bad", "words"], 8)) for _ in range(40)]
+    y = np.array([int("good" in t) for t in texts])
+    docs = [quality.features(t) for t in texts]
+    kept = {}
+    model = quality.SubwordClassifier(docs, y, kept)
+    for text, (ids, share) in zip(texts[:10], docs[:10], strict=True):
+        logit = kept["output"] @ (share @ kept["vector"][ids]) + kept["bias"]
+        p = np.exp(logit - logit.max())
+        assert math.isclose(quality.Scorer(model).score(text), p[1] / p.sum(), rel_tol=1e-4)
