@@ -199,3 +199,11 @@ def is_current(call: Column, kind: Column, active: Column, start: Column, end: C
     """Whether a piece of work goes on: an open call does; what is neither of a current kind nor active doesn't; else its end tells, else a start in the
     last years, else both flags. Null years are unknown."""
     return F.when(call, True).when(~(kind | active), False).when(end.isNotNull(), end >= now).when(start.isNotNull(), start >= now - window).otherwise(active & kind)
+
+
+def ordered_subset(short: Column, long: Column) -> Column:
+    """Whether the words of one name occur in the other in order; a single letter stands for any word that it begins, on either side. Each word takes the first that fits."""
+    fits = lambda s, w: (s == w) | ((F.least(F.length(s), F.length(w)) == 1) & (F.substring(s, 1, 1) == F.substring(w, 1, 1)))
+    # the place in `long` reached so far, null once a word has found none
+    step = lambda at, s: F.when(at.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(long), F.lit(1))), F.lit(None).cast("int"), lambda found, i: F.coalesce(found, F.when((i > at) & (i <= F.size(long)) & fits(s, F.get(long, i - 1)), i))))
+    return F.aggregate(short, F.lit(0), step).isNotNull()

@@ -328,3 +328,45 @@ def _(t):
 @query("S27_repaired", "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS html FROM pages")
 def _(t):
     return t("pages").select("page_id", F.md5(FS.repaired(F.col("html")).cast("binary")).alias("html"))
+
+
+@query(
+    "S09_imported",
+    r"""SELECT c_custkey, lower(regexp_extract('Contato: ' || replace(c_name, '#', '.') || '@Example.COM; tel', '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', 0)) AS email, coalesce(n_name, '') AS unit, c_name || '; ' || upper(c_name) AS aliases FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
+)
+def _(t):
+    c = t("customer").withColumn("eletronico_endereco", F.concat(F.lit("Contato: "), F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@Example.COM; tel")))
+    unit = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.nullif("n_name", F.lit("")).alias("unit"))
+    email = F.lower(F.regexp_extract("eletronico_endereco", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", 0))
+    return c.join(unit, "c_nationkey", "left").select("c_custkey", email.alias("email"), F.coalesce("unit", F.lit("")).alias("unit"), F.array_join(F.array_distinct(F.array("c_name", F.upper("c_name"))), "; ").alias("aliases"))
+
+
+@query("S15_ledger_files", "SELECT o_orderkey AS order_id, o_orderstatus AS state, o_orderpriority AS priority FROM orders")
+def _(t):
+    o = t("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("priority"))
+    path = FS.exchange_dir(o.sparkSession)
+    o.write.option("header", True).csv(path)
+    return o.sparkSession.read.option("header", True).schema(o.schema).csv(path)
+
+
+@query("S34_campaign_export", """SELECT l_orderkey, '{"parts":[' || string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) || ']}' AS details FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey""")
+def _(t):
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.array_sort(F.collect_set("l_partkey")).alias("parts"))).alias("details"))
+    path = FS.exchange_dir(lines.sparkSession)
+    lines.write.option("header", True).option("escape", '"').csv(path)
+    return lines.sparkSession.read.option("header", True).option("escape", '"').schema(lines.schema).csv(path)
+
+
+@query("T10_compatible", "SELECT s_suppkey, true AS same FROM supplier")
+def _(t):
+    key = lambda c: F.split(T.normalize_person_name(F.col(c)), " ")
+    s = t("supplier").select("s_suppkey", key("s_name").alias("long")).withColumn("short", F.transform("long", lambda w, i: F.when(i == 0, F.substring(w, 1, 1)).otherwise(w)))
+    return s.select("s_suppkey", T.ordered_subset(F.col("short"), F.col("long")).alias("same"))
+
+
+@query("A09_report_gini", "WITH r AS (SELECT s_nationkey, l_suppkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY v) AS i FROM r) SELECT s_nationkey, round(2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*)::DOUBLE, 8) AS gini FROM k GROUP BY s_nationkey")
+def _(t):
+    r = t("lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("v")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    k = r.withColumn("i", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("v")))
+    n = F.count("*")
+    return k.groupBy("s_nationkey").agg(F.round(2 * F.sum(F.col("i") * F.col("v")) / (n * F.sum("v")) - (n + 1) / n, 8).alias("gini"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import evaluation as E
 from plumbline.operators import graph as G
 from plumbline.operators import ranking as R
 from plumbline.operators import retrieval as IR
@@ -113,9 +114,8 @@ def _(t):
     e = t("embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("want"))
     s = e.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", "want", F.round(IR.cosine("embedding", "q"), 7).alias("score"))
-    ranked = s.withColumn("place", R.ordinal_rank(["query_id"], "score", "vec_id")).withColumn("n_relevant", F.count_if(F.col("label") == F.col("want")).over(R.Window.partitionBy("query_id"))).where("label = want")
-    out = R.retrieval_quality(ranked.withColumn("task", F.lit("label")), ["task"], "query_id")
-    return out.select(*[F.round(c, 6).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10", "ndcg_10")], "cases")
+    out = E.battery(s.select(F.lit("label").alias("channel"), F.col("query_id").alias("query"), F.col("vec_id").alias("item"), "score", F.col("label").eqNullSafe(F.col("want")).alias("relevant")).checkpoint())
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10")], F.round("ndcg", 6).alias("ndcg_10"), "cases")
 
 
 @query(
