@@ -24,15 +24,32 @@ def percentile_rank(by: list[str], score: str) -> Column:
     return (F.rank().over(group.orderBy(score)) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / 2.0) / F.count("*").over(group) * 100.0
 
 
+def score_bin(df: DataFrame, score: str, bins: int) -> Column:
+    """The number of approximate quantiles of all scores below a score, -1 for null: equal scores are in one bin, larger ones in the same or a later one."""
+    edges = sorted(set(df.approxQuantile(score, [i / bins for i in range(1, bins)], 0.005)))
+    v = F.col(score)
+    return F.when(v.isNull(), F.lit(-1)).otherwise(sum((F.when(v > F.lit(e), F.lit(1)).otherwise(F.lit(0)) for e in edges), F.lit(0)))
+
+
+def with_place(df: DataFrame, by: list[str], score: str, tie: str, name: str, bins: int = 64) -> DataFrame:
+    """df with ordinal_rank under a name: rows are sorted within bins of scores only, and the sizes of the bins above are added. A group's rows of one
+    score are one bin."""
+    binned = df.withColumn("_bin", score_bin(df, score, bins))
+    sizes = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_m"))
+    above = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = sizes.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_bin").alias("_b"), above.alias("_above"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)] + [F.col("_bin") == F.col("_b")]
+    place = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(F.col(score).desc_nulls_last(), F.col(tie)))
+    return binned.withColumn("_place", place).join(above, reduce(lambda a, b: a & b, on)).select(*df.columns, (F.col("_place") + F.col("_above")).cast("int").alias(name))
+
+
 def with_percentile(df: DataFrame, by: list[str], score: str, name: str, bins: int = 64) -> DataFrame:
     """df with percentile_rank under a name, from counts: no task sorts a group.
 
     Scores are counted per value, values fall into bins by approximate quantiles of all scores, bins are added up (at most `bins` rows a group)
     and values only within a bin. Null scores come first and are equal.
     """
-    edges = sorted(set(df.approxQuantile(score, [i / bins for i in range(1, bins)], 0.005))) if df.select(score).dtypes[0][1] != "string" else []
-    v = F.col(score)
-    bin_of = F.when(v.isNull(), F.lit(-1)).otherwise(sum((F.when(v > F.lit(e), F.lit(1)).otherwise(F.lit(0)) for e in edges), F.lit(0)))
+    v, bin_of = F.col(score), score_bin(df, score, bins)
     counts = df.select(*by, v.alias("_v"), bin_of.alias("_bin")).groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"))
     bin_sizes = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m"))
     group = Window.partitionBy(*by)
@@ -49,7 +66,7 @@ def with_percentile(df: DataFrame, by: list[str], score: str, name: str, bins: i
 def reciprocal_rank_fusion(scores: DataFrame, by: list[str], item: str, channel: str, weights: dict[str, float], k: int = 60) -> DataFrame:
     """Sum of weight / (k + place) over channels, relative to the best possible; scores(by, item, channel, score)."""
     weight = reduce(lambda c, w: c.when(F.col(channel) == w, F.lit(float(weights[w]))), list(weights)[1:], F.when(F.col(channel) == list(weights)[0], F.lit(float(list(weights.values())[0]))))
-    ranked = scores.withColumn("place", ordinal_rank([*by, channel], "score", item))
+    ranked = with_place(scores, [*by, channel], "score", item, "place")
     best = sum(w / (k + 1) for w in weights.values())
     return ranked.groupBy(*by, item).agg((F.sum(weight / (k + F.col("place"))) / best).alias("rrf"))
 

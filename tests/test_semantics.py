@@ -146,6 +146,9 @@ def test_percentile_equals_window(spark):
     df = spark.createDataFrame(rows, "g int, v double")
     got = sorted(map(str, R.with_percentile(df, ["g"], "v", "p").select("g", "v", F.round("p", 9)).collect()))
     assert got == sorted(map(str, df.select("g", "v", F.round(R.percentile_rank(["g"], "v"), 9)).toDF("g", "v", "round(p, 9)").collect()))
+    tied = df.withColumn("id", F.monotonically_increasing_id())
+    placed = sorted(map(str, R.with_place(tied, ["g"], "v", "id", "p").select("id", "p").collect()))
+    assert placed == sorted(map(str, tied.select("id", R.ordinal_rank(["g"], "v", "id").alias("p")).collect()))
     assert R.with_percentile(df.where("false"), ["g"], "v", "p").count() == 0
 
 
