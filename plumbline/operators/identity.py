@@ -49,15 +49,21 @@ def merge_names(names: DataFrame, name: str) -> DataFrame:
     return blocked.groupBy("initial", "family").applyInPandas(merge, "name string, person string").unionByName(alone)
 
 
-def resolve(mentions: DataFrame, name: str, people: DataFrame) -> DataFrame:
-    """(name, person_id, tier) of mentions among people(person_id, person): the same folded name, else the one compatible person.
+def resolve(mentions: DataFrame, name: str, people: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(name, person_id, tier) of mentions among people(person_id, person): the same folded name, else the same alias in aliases(person_id, alias), else
+    the one compatible person.
 
     A name that fits several people, a bare family name, and a name that fits nobody get null.
     """
     m = mentions.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().withColumn("tokens", name_tokens(F.col("name")))
     p = people.select("person_id", name_tokens(F.col("person")).alias("known"))
     exact = m.join(p, F.col("tokens") == F.col("known")).groupBy("name").agg(F.count("*").alias("n"), F.min("person_id").alias("id"))
-    rest = m.join(exact, "name", "left_anti").where("size(tokens) >= 2")
+    found = exact.withColumn("tier", F.lit("exact"))
+    if aliases is not None:
+        a = aliases.select("person_id", name_tokens(F.col("alias")).alias("known"))
+        alias = m.join(exact, "name", "left_anti").join(a, F.col("tokens") == F.col("known")).groupBy("name").agg(F.countDistinct("person_id").alias("n"), F.min("person_id").alias("id"))
+        found = found.unionByName(alias.withColumn("tier", F.lit("alias")))
+    rest = m.join(found, "name", "left_anti").where("size(tokens) >= 2")
     key = lambda c: F.concat(F.substring(F.col(c)[0], 1, 1), F.lit(" "), F.element_at(c, -1))
     pairs = rest.withColumn("key", key("tokens")).join(p.where("size(known) >= 2").withColumn("key", key("known")), "key")
 
@@ -68,5 +74,5 @@ def resolve(mentions: DataFrame, name: str, people: DataFrame) -> DataFrame:
 
     kind = dict(people.dtypes)["person_id"]
     near = pairs.select("name", "person_id", "tokens", "known").mapInPandas(fits, f"name string, person_id {kind}").groupBy("name").agg(F.count("*").alias("n"), F.min("person_id").alias("id"))
-    found = exact.withColumn("tier", F.lit("exact")).unionByName(near.withColumn("tier", F.lit("inferred"))).where("n = 1")
+    found = found.unionByName(near.withColumn("tier", F.lit("inferred"))).where("n = 1")
     return m.select("name").join(found, "name", "left").select("name", F.col("id").alias("person_id"), "tier")

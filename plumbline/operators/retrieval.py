@@ -15,6 +15,12 @@ def postings(docs: DataFrame, doc: str, tokens: Column, *keep: str) -> DataFrame
     return docs.select(doc, *keep, F.explode(tokens).alias("term")).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf")).checkpoint()
 
 
+def vocabulary(terms: DataFrame, least: int, most: int) -> DataFrame:
+    """(term): those of at least so many documents, of them the most frequent ones up to a number."""
+    count = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least)
+    return count.orderBy(F.col("total").desc(), "term").limit(most).select("term")
+
+
 def tfidf(terms: DataFrame, doc: str, n_docs: int) -> DataFrame:
     """(doc, term, weight): (1 + ln tf) times (ln((1 + n) / (1 + df)) + 1), of unit length per document."""
     df = terms.groupBy("term").agg(F.count("*").alias("df"))

@@ -7,7 +7,7 @@ from plumbline.operators import evaluation as E
 from plumbline.operators import iterative as IT
 from plumbline.operators import retrieval as IR
 from plumbline.operators import semantics as S
-from plumbline.plans.measures import COS, conversation_pairs
+from plumbline.plans.measures import COS, WORDS, conversation_pairs
 from plumbline.plans.registry import query
 from plumbline.plans.relational import MONEY, long
 from plumbline.plans.structures import weighted_terms
@@ -128,3 +128,22 @@ def _(t):
     queries = e.where("vec_id % 100 = 0").toDF("query_id", "q")  # the stated query set, against all rows
     scored = e.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", IR.cosine("embedding", "q").alias("c"))
     return scored.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("c"), 6).alias("most"))
+
+
+STOP = ["the", "and", "of", "to", "de", "la", "le", "und", "der", "die", "que", "el", "en", "et"]
+KEPT = f"list_filter({WORDS}, lambda x: x NOT IN ({', '.join(repr(w) for w in STOP)}))"
+
+
+@query(
+    "R01_one_and_two_words",
+    f"""WITH w AS (SELECT doc_id, {KEPT} AS w FROM documents), p AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w), t AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+    d AS (SELECT term, df FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM t GROUP BY term) WHERE df >= 2 ORDER BY total DESC, term LIMIT 60000), x AS (SELECT doc_id, (1 + ln(tf)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM t JOIN d USING (term), n), s AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id)
+    SELECT doc_id, round(max(w / norm), 7) AS top_weight, count(*)::BIGINT AS terms, round(sum(w / norm), 5) AS total FROM x JOIN s USING (doc_id) GROUP BY doc_id""",
+)
+def _(t):
+    docs = t("documents")
+    kept = F.filter(T.words(F.col("text")), lambda w: ~w.isin(STOP))
+    terms = IR.postings(docs.select("doc_id", kept.alias("w")), "doc_id", F.concat("w", T.ngrams(F.col("w"))))
+    known = IR.vocabulary(terms, least=2, most=60_000)
+    weights = IR.tfidf(terms.join(known, "term", "left_semi"), "doc_id", docs.count())
+    return weights.groupBy("doc_id").agg(F.round(F.max("weight"), 7).alias("top_weight"), F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"))

@@ -52,7 +52,9 @@ def _(t):
 @query("J19_resolved_names")
 def _(t):
     people = ID.merge_names(bylines(t), "name").groupBy("person").agg(F.count("*").alias("spellings")).select(F.xxhash64("person").alias("person_id"), "person")
-    return ID.resolve(bylines(t), "name", people)
+    # a person's other spellings are aliases
+    aliases = ID.merge_names(bylines(t), "name").where("name <> person").select(F.xxhash64("person").alias("person_id"), F.col("name").alias("alias"))
+    return ID.resolve(bylines(t), "name", people, aliases)
 
 
 @query("N14_betweenness")

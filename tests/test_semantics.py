@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import identity as ID
 from plumbline.operators import matching as MT
 from plumbline.operators import records as RC
 from plumbline.operators import ranking as R
@@ -163,3 +164,11 @@ def test_files(spark, tmp_path):
     assert [(r.object, r.error) for r in FS.script_objects(df, "id", "html", "curriculo").orderBy("id").collect()] == [p[1:] for p in pages]
     latin = spark.createDataFrame([(bytearray('<meta charset="iso-8859-1">é'.encode("latin-1")),), (bytearray("<meta>é".encode()),)], "b binary")
     assert {r[0][-1] for r in latin.select(FS.decoded_page(F.col("b"))).collect()} == {"é"}
+
+
+def test_resolved_by_alias(spark):
+    people = spark.createDataFrame([(1, "Ana Lima Costa"), (2, "Rui Reis")], "person_id long, person string")
+    aliases = spark.createDataFrame([(1, "Nana Souza"), (2, "R. R. X"), (1, "R. R. X")], "person_id long, alias string")
+    said = spark.createDataFrame([("ANA LIMA COSTA",), ("Nana de Souza",), ("A. Costa",), ("R. R. X",), ("Nobody Here",), (None,)], "name string")
+    got = {r.name: (r.person_id, r.tier) for r in ID.resolve(said, "name", people, aliases).collect()}
+    assert got == {"ANA LIMA COSTA": (1, "exact"), "Nana de Souza": (1, "alias"), "A. Costa": (1, "inferred"), "R. R. X": (None, None), "Nobody Here": (None, None)}
