@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, numbered, read, written
 
-#: Bytes of the first digit; each further digit is four times as wide, so that the number of rounds
-#: grows with the logarithm of the longest repeated text.
-FIRST_DIGIT = 64
-WIDER = 4
-#: Parts of a group that its rows meet apart.
-SALTS = 16
+#: Bytes of the first digit, which tells most texts apart; each further digit is WIDER times as wide, so that the number
+#: of rounds grows with the logarithm of the longest repeated text and most texts end in the second.
+FIRST_DIGIT = 256
+WIDER = 16
+#: Parts of a group that its rows meet apart, each with a copy of its digit; adaptive execution splits parts that are still too large.
+SALTS = 4
 SPACES = "\t\n\x0b\x0c\r "
 
 
@@ -31,26 +31,26 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     when it is a singleton or its texts have ended. Digits are compared as bytes; sha256 is output only.
     The row with the most code points stays, then the smallest doc_id (null last), then the first row.
     Null texts count as empty, and empty texts form one group; repeated rows are rows of their own; an empty table
-    gives an empty one. A round moves digits only: the rest of a text stays in the table of normalised texts and is looked up
-    for the rows whose group goes on. Groups are counted by partial sums, and rows meet their group's number
-    through SALTS parts of it, so that a group of a third of all rows is spread.
+    gives an empty one. Texts move once, in the first round; after it only rows of groups move. Groups are counted by partial
+    sums, and rows meet their group's number in SALTS parts, so that a group of a third of all rows is spread.
     """
     body = without_spaces(F.coalesce("text", F.lit(""))).cast("binary")
     texts = written(rows.select("row", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), body.alias("body")).withColumn("text_sha256", F.sha2("body", 256)))
-    open_rows, begin, width, ended, last = texts.select("row", F.lit(0).cast("long").alias("group"), "body"), 1, FIRST_DIGIT, [], None
+    open_rows, width, ended, last = texts.select("row", F.lit(0).cast("long").alias("group"), F.col("body").alias("rest")), FIRST_DIGIT, [], None
     while True:
-        cut = open_rows.select("group", "row", F.substring("body", begin, width).alias("digit"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
-        split = cut.groupBy("group", "digit", "salt").agg(F.count("*").alias("members"), F.min("row").alias("next")).groupBy("group", "digit").agg(F.sum("members").alias("members"), F.min("next").alias("next"))
+        cut = open_rows.select("group", F.substring("rest", 1, width).alias("digit"), "row", F.expr(f"substring(rest, {width + 1})").alias("rest"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+        split = cut.groupBy("group", "digit").agg(F.count("*").alias("members"), F.min("row").alias("next"))
         split = split.where("members > 1").select("group", "digit", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        met = written(cut.join(split, ["group", "digit", "salt"]).select(F.col("next").alias("group"), "row", (F.length("digit") < width).alias("over")))
+        met = written(
+            cut.join(split.hint("merge"), ["group", "digit", "salt"]).select(F.col("next").alias("group"), "row", (F.length("digit") < width).alias("over"), F.when(F.length("digit") == width, F.col("rest")).alias("rest"))
+        )
         discard(last)
-        # what has ended is set aside, so that this round's rows can go with the next one
+        # what has ended is set aside, so that this round's texts can go with the next one
         ended.append(written(met.where("over").select("group", "row")))
-        last, begin, width = met, begin + width, width * WIDER
-        going = met.where("not over").select("group", "row")
-        if going.isEmpty():
+        last, width = met, width * WIDER
+        open_rows = met.where("not over").select("group", "row", "rest")
+        if open_rows.isEmpty():
             break
-        open_rows = going.join(texts.select("row", "body"), "row")
     discard(last)
     groups = reduce(DataFrame.union, ended)
     info = texts.select("row", "doc_id", "n", "text_sha256")
