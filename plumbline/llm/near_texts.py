@@ -24,11 +24,15 @@ KEY_SHINGLE = 2
 #: 0.06 to 0.12 for edits spread over a text and 0.15 at most, where the edits lie together: nine of ten meet even then.)
 RATE, RECALL = 0.13, 0.97
 #: Bits of the Golay segment, and those by which the first 64 bits of a candidate pair may differ.
-GOLAY_BITS, MOST_BITS = 23, 18
+GOLAY_BITS, MOST_BITS = 23, 15
 #: Two unrelated segments share a key this often, as a power of two; whole bits tell apart what else would meet.
 GOLAY_SAYS = 7
-#: Buckets of more rows are linked through PIVOTS of their rows first; each pivot's texts are met in SALTS parts.
-FEW, PIVOTS, SALTS = 32, 6, 16
+#: Pairs are candidates within a bucket of at most so many rows; the rows of a larger one pair with its first PIVOTS. A row is held against
+#: FIRST partners first, and texts meet in SALTS parts of a partner that very many have.
+FEW, PIVOTS, FIRST, SALTS = 32, 6, 3, 16
+#: Bits of a set's own fingerprint, in parts of 64, and how many of them sets of that similarity may differ in: their cosine is 8 / 9 at least, so a
+#: bit differs at a rate of 0.1515 at most, and three deviations are allowed for. Sets of fewer than SMALL shingles are always compared.
+PARTS, MOST_SET_BITS, SMALL = 8, 102, 64
 _FLIPS = np.concatenate(([0], 1 << np.arange(GOLAY_BITS))).astype(np.int64)
 
 
@@ -97,98 +101,139 @@ def keyed(docs: DataFrame, whole: int, tables: int) -> DataFrame:
 
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of rows (key, row, fp) sorted by key; the rows of a bucket of more than FEW are passed on as (key, a, fp), b null."""
+    """Candidate pairs (a, b), a < b, of rows (key, row, fp) sorted by key and row: all of a bucket, or of one of more than FEW rows
+    those with its first PIVOTS. The rows of such buckets are also passed on as (key, a, fp), b null."""
     held = [np.zeros(0, np.int64)] * 3
 
-    def out(key: np.ndarray, row: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def close(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= MOST_BITS  # of signed numbers it would count the absolute value
+
+    def rows(key: np.ndarray, row: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.nulls(len(row), pa.int64()), pa.array(fp)], names=["key", "a", "b", "fp"])
+
+    def out(key: np.ndarray, row: np.ndarray, fp: np.ndarray, begin: int = 0, large: bool = False) -> Iterator[pa.RecordBatch]:
+        """What the buckets from a place on give; large says that they are one bucket of more than FEW."""
         _, at, many = np.unique(key, return_inverse=True, return_counts=True)
-        crowded = many[at] > FEW
-        if crowded.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[crowded]), pa.array(row[crowded]), pa.nulls(int(crowded.sum()), pa.int64()), pa.array(fp[crowded])], names=["key", "a", "b", "fp"])
+        crowded, first = (many[at] > FEW) | large, np.searchsorted(key, key)
+        pairs, every = [], np.arange(len(key))
+        for p in range(PIVOTS):
+            j = every[crowded & (every > first + p) & (every >= begin)]
+            i = first[j] + p
+            ok = close(fp, i, j)
+            pairs.append(np.stack((row[i[ok]], row[j[ok]])))
+        passed = crowded & (every >= begin)
+        if passed.any():
+            yield rows(key[passed], row[passed], fp[passed])
         key, row, fp = key[~crowded], row[~crowded], fp[~crowded]
-        pairs = []
         for d in range(1, FEW):
             i = np.flatnonzero(key[d:] == key[:-d])
             if not len(i):
                 break
-            i = i[np.bitwise_count((fp[i] ^ fp[i + d]).view(np.uint64)) <= MOST_BITS]
+            i = i[close(fp, i, i + d)]
             pairs.append(np.stack((row[i], row[i + d])))
-        if pairs:
-            both = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        if both.shape[1]:
             none = pa.nulls(both.shape[1], pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(both[0]), pa.array(both[1]), none], names=["key", "a", "b", "fp"])
 
+    given = 0  # rows of the bucket held that have been passed on
     for batch in batches:
         key, row, fp = (batch.column(i).to_numpy() for i in range(3))
         if not len(key):
             continue
+        if given and key[0] != held[0][0]:
+            held, given = [np.zeros(0, np.int64)] * 3, 0
         held = [np.concatenate(x) for x in zip(held, (key, row, fp), strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1]))
-        if len(held[0]) - cut > FEW:  # the last bucket is crowded: its rows need not be held, but FEW + 1 that say so
-            now = held[0][-1]
-            last = [x[cut:] for x in held]
-            yield from out(*(x[:cut] for x in held))
-            yield pa.RecordBatch.from_arrays([pa.array(last[0][FEW + 1 :]), pa.array(last[1][FEW + 1 :]), pa.nulls(len(last[0]) - FEW - 1, pa.int64()), pa.array(last[2][FEW + 1 :])], names=["key", "a", "b", "fp"])
-            held = [x[: FEW + 1] for x in last]
-            assert (held[0] == now).all()
-        else:
-            yield from out(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-    if len(held[0]):
+        if cut:  # the buckets before the last one are whole
+            front = [x[:cut] for x in held]
+            if given:
+                end = int(np.searchsorted(front[0], front[0][0], side="right"))
+                yield from out(*(x[:end] for x in front), begin=given, large=True)
+                front = [x[end:] for x in front]
+            yield from out(*front)
+            held, given = [x[cut:] for x in held], 0
+        if len(held[0]) > FEW:  # of a crowded bucket that may go on, what tells its pivots is held
+            yield from out(*held, begin=given, large=True)
+            held, given = [x[:PIVOTS] for x in held], PIVOTS
+    if len(held[0]) and not given:
         yield from out(*held)
 
 
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets may be similar enough by their fingerprints and sizes, so that whole sets move for few others."""
+    side = lambda c: sets.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
+    bits = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    sizes = (2 * NEAR_PARTS + 1) * F.least("na", "nb") >= NEAR_PARTS * (F.col("na") + F.col("nb"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    return met.where(sizes & ((F.least("na", "nb") < SMALL) | (bits <= MOST_SET_BITS))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, salts: int = 1) -> DataFrame:
-    """The pairs (a, b) whose sets(row, h) are similar enough, exactly. Each b meets its a in one of so many parts, so that a may have very many."""
-    one = sets.select(F.col("row").alias("a"), F.col("h").alias("ha"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    met = pairs.join(sets.select(F.col("row").alias("b"), F.col("h").alias("hb")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts))).join(one, ["a", "salt"])
+    """The pairs (a, b) whose sets(row, h) are similar enough, exactly. Each b meets its a in one of so many parts, so that an a may have very many;
+    only sets of an a are repeated."""
+    pairs = written(likely(pairs, sets))
+    h = sets.select("row", "h")
+    one = h.select(F.col("row").alias("a"), F.col("h").alias("ha"))
+    if salts > 1:
+        one = one.join(pairs.select("a").distinct(), "a", "left_semi")
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = pairs.join(h.select(F.col("row").alias("b"), F.col("h").alias("hb")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts))).join(one, ["a", "salt"])
     same = F.size(F.array_intersect("ha", "hb"))
     return met.where((2 * NEAR_PARTS + 1) * same >= NEAR_PARTS * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(row, h) of docs(row, text): the distinct shingles' hashes."""
+    """(row, n, h, sig) of docs(row, text): the distinct shingles' number, hashes and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 found = [np.unique(shingles(x.as_py() or "", SHINGLE)) for x in part.column(1)]
-                ends = np.cumsum([0, *map(len, found)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found).view(np.int64))).cast(pa.list_(pa.int64()))], names=["row", "h"])
+                sizes = np.array([len(x) for x in found], np.int64)
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                sig = np.concatenate([np.packbits(majority_bits(x, PARTS)) for x in found]).view(np.int64)
+                lists = [pa.LargeListArray.from_arrays(pa.array(e, pa.int64()), pa.array(v)).cast(pa.list_(pa.int64())) for e, v in ((ends, np.concatenate(found).view(np.int64)), (np.arange(len(found) + 1) * PARTS, sig))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *lists], names=["row", "n", "h", "sig"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, h array<long>")
+    return docs.select("row", "text").mapInArrow(run, "row long, n long, h array<long>, sig array<long>")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between rows of docs(row, text), row being unique; they join the same components as all candidate pairs that are near copies.
 
-    Pairs of a small bucket are candidates if the first 64 bits of their fingerprints are close. A crowded bucket, which copies of
-    one text fill, is linked through PIVOTS of its rows first; after that only its rows outside the largest component so
-    far meet the rows of other components, so that a group of copies costs its rows and not its pairs.
+    Pairs of a bucket are candidates if the first 64 bits of their fingerprints are close. Each row is held against its first partners; after
+    that only pairs between different components are: the other candidates, and in a crowded bucket, which copies of one text fill, the rows outside
+    its largest component with all others. So a group of copies costs its rows and not its pairs.
     """
     whole, tables = shape_of_tables(docs.count())
-    met = written(keyed(docs, whole, tables).repartition("key").sortWithinPartitions("key").mapInArrow(bucket_pairs, "key long, a long, b long, fp long"))
+    met = written(keyed(docs, whole, tables).repartition("key").sortWithinPartitions("key", "row").mapInArrow(bucket_pairs, "key long, a long, b long, fp long"))
     crowded = met.where("b IS NULL").select("key", F.col("a").alias("row"), "fp")
-    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).union(crowded.select("row")).distinct()
+    pairs = written(met.where("b IS NOT NULL").select("a", "b").distinct())
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).union(crowded.select("row")).distinct())
     sets = written(shingle_sets(docs.join(nodes, "row", "left_semi")))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= MOST_BITS
-    pick = [F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("place"), "row", "fp")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = crowded.groupBy("key").agg(*pick).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.row", f"p{k}.fp") for k in range(PIVOTS)]))).alias("p")).select("key", F.col("p.row").alias("a"), F.col("p.fp").alias("fq"))
-    stars = crowded.join(pivots, "key").where(close & (F.col("row") != F.col("a"))).select("a", F.col("row").alias("b")).distinct()
-    links = written(verified(pairs, sets).union(verified(stars, sets, SALTS)))
-    if crowded.isEmpty():
-        return links
-    of = components(links).select(F.col("node").alias("row"), "component")
-    placed = written(crowded.join(of, "row", "left").select("key", "row", "fp", F.coalesce("component", "row").alias("component")))
+    first = _first_partners(pairs)
+    links = written(verified(first, sets, SALTS))
+    of = written(components(links).select(F.col("node").alias("row"), "component"))
+    own = lambda df, c: df.join(of.toDF(c, f"of_{c}"), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    apart = own(own(pairs.join(first, ["a", "b"], "left_anti"), "a"), "b").where("of_a <> of_b").select("a", "b")
+    placed = written(own(crowded, "row").withColumnRenamed("of_row", "component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
     split = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
     outside = placed.join(split, "key").where("component <> main").select("key", F.col("row").alias("a"), F.col("fp").alias("fq"), F.col("component").alias("own"))
-    rest = placed.join(outside, "key").where((F.col("component") != F.col("own")) & close).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= MOST_BITS
+    rest = placed.join(outside, "key").where((F.col("component") != F.col("own")) & close).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
+    rest = written(rest.union(apart).distinct())
     return links.union(written(verified(rest, sets, SALTS)))
 
 
+def _first_partners(pairs: DataFrame) -> DataFrame:
+    """The FIRST smallest a of each b; a b has at most its keys times FEW."""
+    few = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_list("a")), 1, FIRST).alias("first"))
+    return written(few.select(F.explode("first").alias("a"), "b"))
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies of docs(doc_id, text, ...), that of the smallest doc_id (null last, then the first row), with its columns.
 
