@@ -207,3 +207,28 @@ def ordered_subset(short: Column, long: Column) -> Column:
     # the place in `long` reached so far, null once a word has found none
     step = lambda at, s: F.when(at.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(long), F.lit(1))), F.lit(None).cast("int"), lambda found, i: F.coalesce(found, F.when((i > at) & (i <= F.size(long)) & fits(s, F.get(long, i - 1)), i))))
     return F.aggregate(short, F.lit(0), step).isNotNull()
+
+
+def bounded_year(x: Column, low: int, high: int) -> Column:
+    """The first year that stands as a word, if it is within the bounds; null otherwise."""
+    year = F.regexp_extract(x, r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("long")
+    return F.when(year.between(low, high), year)
+
+
+def leading_year(x: Column) -> Column:
+    """The year with which a text begins."""
+    return F.regexp_extract(x, "^((?:19|20)[0-9]{2})", 1).try_cast("long")
+
+
+def marked_words(x: Column) -> Column:
+    """Folded words of two or more characters that begin with a letter and may hold the marks of names of programs, such as scikit-learn, but not at the end."""
+    return F.regexp_extract_all(fold(x), F.lit("[a-z][a-z0-9_+.#/-]*[a-z0-9_]"), F.lit(0))
+
+
+def canonical_url(x: Column) -> Column:
+    """Scheme and host in lower case, no fragment, an empty path as /, arguments in order; null for what is no web address."""
+    scheme, host = F.lower(F.regexp_extract(x, r"^(\w+)://", 1)), F.lower(F.regexp_extract(x, r"^\w+://([^/?#]+)", 1))
+    path, args = F.regexp_extract(x, r"^\w+://[^/?#]+([^?#]*)", 1), F.regexp_extract(x, r"\?([^#]*)", 1)
+    ordered = F.array_join(F.array_sort(F.filter(F.split(args, "&"), lambda a: a != "")), "&")
+    made = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(""))
+    return F.when((scheme != "") & (host != ""), made)

@@ -429,6 +429,22 @@ def _(t):
     return t("documents").select("doc_id", T.first_year(F.col("text")).alias("year"))
 
 
+@query("T14_bounded_year", r"SELECT doc_id, CASE WHEN y BETWEEN 1950 AND 2029 THEN y END AS year FROM (SELECT doc_id, try_cast(regexp_extract(text, '\b((?:19|20)[0-9]{2})\b', 1) AS BIGINT) AS y FROM documents)")
+def _(t):
+    return t("documents").select("doc_id", T.bounded_year(F.col("text"), 1950, 2029).alias("year"))
+
+
+@query("T14_leading_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate)::BIGINT END AS year FROM orders")
+def _(t):
+    said = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("in "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t("orders").select("o_orderkey", T.leading_year(said).alias("year"))
+
+
+@query("T28_marked_words", f"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({PLAIN}, '[a-z][a-z0-9_+.#/-]*[a-z0-9_]')) AS term FROM documents) GROUP BY term HAVING count(*) >= 5")
+def _(t):
+    return t("documents").select(F.explode(T.marked_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 5")
+
+
 @query("T27_code_tokens", f"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all({PLAIN}, '[a-z0-9][a-z0-9_+.#/-]*'), lambda x: rtrim(x, '._-/')), lambda x: len(x) > 1))::BIGINT AS tokens FROM documents")
 def _(t):
     return t("documents").select("doc_id", long(F.size(T.code_tokens(F.col("text")))).alias("tokens"))
@@ -460,26 +476,34 @@ def _(t):
 
 @query(
     "R21_discovered_terms",
-    f"WITH p AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS term FROM documents), d AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term) SELECT term, df FROM d WHERE df >= 3 AND df <= 0.25 * (SELECT count(*) FROM documents) AND len(term) > 3 ORDER BY df DESC, term LIMIT 60",
+    f"""WITH p AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS term FROM documents), d AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c AS (SELECT DISTINCT unnest({WORDS}) AS term FROM benchmark)
+    SELECT term, df FROM d WHERE df >= 3 AND df <= 0.25 * (SELECT count(*) FROM documents) AND len(term) > 3 AND term NOT IN (SELECT term FROM c) AND NOT regexp_matches(term, '^(license|software|version)') ORDER BY df DESC, term LIMIT 60""",
 )
 def _(t):
     docs = t("documents")
     terms = docs.select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).where("length(term) > 3")
     n = docs.agg(F.count("*").alias("n"))  # one row
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where("df >= 3 AND df <= 0.25 * n")
+    covered = t("benchmark").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
+    df = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where("df >= 3 AND df <= 0.25 * n AND NOT term RLIKE '^(license|software|version)'").join(covered, "term", "left_anti")
     return df.select("term", "df").orderBy(F.col("df").desc(), "term").limit(60)
 
 
 @query(
     "R23_portfolio_scores",
-    """WITH x AS (SELECT l_suppkey, CASE p_type WHEN 'PROMO' THEN 1.0::DOUBLE WHEN 'STANDARD' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * pow(2.0::DOUBLE, -greatest(0, 2002 - year(l_shipdate)) / 6.0::DOUBLE) AS weight, l_quantity AS score FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT l_suppkey, round(sum(weight * score) / sum(weight), 6) AS score, count(*)::BIGINT AS atoms FROM x GROUP BY l_suppkey""",
+    """WITH d AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY l_partkey), n AS (SELECT count(*)::DOUBLE AS n FROM orders), y AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity AS score, year(l_shipdate) AS y, p_type, least(1, greatest(0.05::DOUBLE, ln((n + 1) / (df + 1.0::DOUBLE)) / ln(n + 1))) AS rarity, l_partkey
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN d USING (l_partkey), n), x AS (SELECT *, CASE p_type WHEN 'PROMO' THEN 1.0::DOUBLE WHEN 'STANDARD' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * pow(2.0::DOUBLE, -greatest(0, 2002 - y) / 6.0::DOUBLE) * rarity AS weight FROM y),
+    s AS (SELECT l_suppkey, 'trajectory' AS scope, weight, score FROM x WHERE p_type <> 'PROMO' UNION ALL SELECT l_suppkey, 'current', weight, score FROM x WHERE y >= 2000) SELECT l_suppkey, scope, round(sum(weight * score) / sum(weight), 6) AS score, count(*)::BIGINT AS atoms FROM s GROUP BY ALL""",
 )
 def _(t):
-    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = t("orders").agg(F.count("*").cast("double").alias("n"))  # one row
+    df = t("lineitem").select("l_partkey", "l_orderkey").distinct().groupBy(F.col("l_partkey").alias("p")).agg(F.count("*").alias("df"))
+    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(df, F.col("p") == F.col("l_partkey")).join(F.broadcast(n))
+    rarity = F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.log((F.col("n") + 1) / (F.col("df") + 1.0)) / F.log(F.col("n") + 1)))
     specificity = F.when(F.col("p_type") == "PROMO", 1.0).when(F.col("p_type") == "STANDARD", 0.8).otherwise(0.5)
-    x = lines.select("l_suppkey", (specificity * T.recency_weight(F.year("l_shipdate"), 2002)).alias("weight"), F.col("l_quantity").alias("score"))
-    return x.groupBy("l_suppkey").agg(F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 6).alias("score"), F.count("*").alias("atoms"))
+    x = lines.select("l_suppkey", "p_type", F.year("l_shipdate").alias("y"), (specificity * T.recency_weight(F.year("l_shipdate"), 2002) * rarity).alias("weight"), F.col("l_quantity").alias("score"))
+    scope = F.filter(F.array(F.when(F.col("p_type") != "PROMO", "trajectory"), F.when(F.col("y") >= 2000, "current")), lambda v: v.isNotNull())
+    s = x.withColumn("scope", F.explode(scope))
+    return s.groupBy("l_suppkey", "scope").agg(F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 6).alias("score"), F.count("*").alias("atoms"))
 
 
 @query(

@@ -22,6 +22,29 @@ def _(t):
     return P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'heading'").select("page_id", long("ordinal").alias("ordinal"))
 
 
+@query("S19_page_titles", "SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title FROM pages WHERE contains(html, '<title>')")
+def _(t):
+    p = P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'title'")
+    return p.select("page_id", F.md5(T.clean_text(F.col("text")).cast("binary")).alias("title"))
+
+
+@query("S19_page_images", "SELECT page_id, count(*)::BIGINT AS images FROM (SELECT page_id, unnest(regexp_extract_all(html, '<img [^>]*src=\"([^\"]+)\"', 1)) FROM pages) GROUP BY page_id")
+def _(t):
+    return P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'image'").groupBy("page_id").agg(F.count("*").alias("images"))
+
+
+@query("S19_page_cells", "SELECT page_id, len(regexp_extract_all(html, '<t[dh][ >]'))::BIGINT AS cells, len(regexp_extract_all(html, '<d[td][ >]'))::BIGINT AS fields, len(regexp_extract_all(html, '<form[ >]'))::BIGINT AS forms FROM pages")
+def _(t):
+    parts = P.page_parts(t("pages"), "page_id", "url", "html").groupBy("page_id").agg(F.count_if(F.col("kind") == "cell").alias("cells"), F.count_if(F.col("kind").isin("dt", "dd")).alias("fields"), F.count_if(F.col("kind") == "form").alias("forms"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cells", "fields", "forms")]
+    return t("pages").select("page_id").join(parts, "page_id", "left").select("page_id", *zero)
+
+
+@query("S22_canonical", r"SELECT page_id, lower(regexp_extract(url, '^(\w+)://', 1)) || '://' || lower(regexp_extract(url, '^\w+://([^/?#]+)', 1)) || CASE WHEN regexp_extract(url, '^\w+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^\w+://[^/?#]+([^?#]*)', 1) END || CASE WHEN a <> '' THEN '?' || a ELSE '' END AS url FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS a FROM pages)")
+def _(t):
+    return t("pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
+
+
 @query("S18_page_links", "SELECT page_id, count(*)::BIGINT AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1)) FROM pages) GROUP BY page_id")
 def _(t):
     return P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'link'").groupBy("page_id").agg(F.count("*").alias("links"))
