@@ -7,12 +7,14 @@ from plumbline.operators import evaluation as E
 from plumbline.operators import iterative as IT
 from plumbline.operators import retrieval as IR
 from plumbline.operators import semantics as S
+from plumbline.operators import topic_models as TM
 from plumbline.plans.measures import COS, WORDS, conversation_pairs
 from plumbline.plans.registry import query
 from plumbline.plans.relational import MONEY, long
 from plumbline.plans.structures import weighted_terms
 
 AXES = 16
+STOP = ["the", "and", "of", "to", "de", "la", "le", "und", "der", "die", "que", "el", "en", "et"]
 
 
 def turn_terms(t):
@@ -49,11 +51,36 @@ def _(t):
     return S.projected(both, "vec_id", width.n if width else 0, 8).select("vec_id", F.transform("vector", lambda v: F.round(v, 5)).alias("vector"))
 
 
+def stories(t, vocabulary: int = 2000) -> TM.Corpus:
+    """Documents over their most frequent words of two languages or one."""
+    return TM.corpus(t("documents"), "doc_id", F.filter(T.words(F.col("text")), lambda w: ~w.isin(STOP)), vocabulary)
+
+
+@query("M04_resampled_stability")
+def _(t):
+    c = stories(t)
+    found, _ = TM.stability(c, [4, 6])
+    return c.rows.sparkSession.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "k long, stability double")
+
+
+@query("M05_fitted_number")
+def _(t):
+    return TM.choose_number(stories(t))[0]
+
+
+@query("M06_two_levels")
+def _(t):
+    c = stories(t)
+    h = TM.fit(c.rows, len(c.terms), [TM.Model(4)])[0]
+    return TM.two_levels(c, h)[0].select(F.col("doc").alias("doc_id"), "topic")
+
+
 @query("M07_placed")
 def _(t):
     x = weighted_terms(t).checkpoint()
-    _, h = IT.topics(x, 4, rounds=5)
-    return S.placed_on_topics(x, h, 4).select(F.col("doc").alias("id"), F.transform("f", lambda v: F.round(v, 5)).alias("shares"))
+    c = TM.gathered(x)
+    h = TM.fit(c.rows, len(c.terms), [TM.Model(4)])[0]
+    return S.placed_on_topics(x, TM.as_rows(c, h), 4).select(F.col("doc").alias("id"), F.transform("f", lambda v: F.round(v, 5)).alias("shares"))
 
 
 TERMS = "SELECT p_type AS topic, p_brand AS term, l_linestatus AS part, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
@@ -130,7 +157,6 @@ def _(t):
     return scored.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("c"), 6).alias("most"))
 
 
-STOP = ["the", "and", "of", "to", "de", "la", "le", "und", "der", "die", "que", "el", "en", "et"]
 KEPT = f"list_filter({WORDS}, lambda x: x NOT IN ({', '.join(repr(w) for w in STOP)}))"
 
 
