@@ -72,22 +72,40 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
 
-def expected(level: Column, size: Column, cap: int = CAP) -> tuple[Column, Column]:
-    """(certain whole copies, inclusion probability of one more) of a document."""
-    copies = F.least(F.lit(float(cap)), level * digits(size))
+def expected(level: Column, size: Column, target: Column, cap: int = CAP) -> tuple[Column, Column]:
+    """(certain whole copies, inclusion probability of one more) of a document; none of one that is larger than its source's target."""
+    copies = F.when(size <= target, F.least(F.lit(float(cap)), level * digits(size))).otherwise(0.0)
     return F.floor(copies), copies - F.floor(copies)
 
 
+def offers(level: Column, size: Column, target: Column, u: Column, cap: int = CAP) -> Column:
+    """The places, in rising order, at which a document is offered in its source: in the sample itself from 0 to 1 by its Pareto rank if it has a
+    fraction to be included with, then once in each further turn while that leaves it within cap copies, by the odds of its random number over its digits.
+
+    The sample's places are taken first. A document that doesn't fit when it is offered never fits again, as less is open later; so what it has when
+    it is offered anew is known beforehand.
+    """
+    whole, inclusion = expected(level, size, target, cap)
+    place = lambda rank: rank / (F.lit(1.0) + rank)
+    has = whole + F.when(inclusion > 0, 1).otherwise(0)
+    again = place(odds(u) / digits(size))
+    turns = [F.when((inclusion > 0) & (size > 0), place(pareto_rank(u, inclusion)))]
+    turns += [F.when((size > 0) & (size <= target) & (has + turn <= cap), F.lit(float(turn)) + again) for turn in range(1, cap + 1)]
+    return F.array_compact(F.array(*turns))
+
+
 def source_levels(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """key, source_size, target, level and words to sample of each source of rows(source, size).
 
-    A document's expected copies are the level times its size's binary digits, cap at most, so that expected words add
+    A document's expected copies are the level times its size's binary digits, cap at most, and none if it is larger than the target, so that expected words add
     up to the target. The level is found as the sources' is: documents of most digits meet the cap first, and
     of the levels that leave out the longest ones the largest is final. One row per source and digits is all that is sorted.
     """
-    classes = rows.groupBy("source", digits(F.col("size")).alias("digits")).agg(F.sum("size").alias("size"))
-    goal = source_targets(classes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumn("key", source_key(F.col("source"))).drop("source")
-    c = classes.withColumn("key", source_key(F.col("source"))).drop("source").join(goal, "key")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = written(source_targets(totals, weights, cap).withColumn("key", source_key(F.col("source"))).drop("source"))
+    small = F.broadcast(goal) if goal.count() <= FEW_SOURCES else goal
+    fit = rows.withColumn("key", source_key(F.col("source"))).join(small.select("key", "target"), "key").where("size <= target")
+    c = goal.join(fit.groupBy("key", digits(F.col("size")).alias("digits")).agg(F.sum("size").alias("size")), "key", "left").na.fill(0, ["digits", "size"])
     by_digits = Window.partitionBy("key").orderBy(F.col("digits").desc())
     before = F.coalesce(F.sum(cap * F.col("size")).over(by_digits.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.sum(F.col("digits") * F.col("size")).over(by_digits.rowsBetween(0, Window.unboundedFollowing))
@@ -124,19 +142,20 @@ def front(pool: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def decide(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per source of rows(source, size, u): key, source_size, target, level and sampled, the intervals of ranks taken.
+    """One row per source of rows(source, size, u): key, source_size, target, level and sampled, the intervals of places taken.
 
     The whole part of a document's expected copies is certain; the fraction is its inclusion probability, unequal
     within a source, in a sample of fixed size, counted in words. Documents are ranked by the odds of their random number
     over their inclusion odds, and each is taken in that order if it fits in what is still open, until no more than CLOSE of the target is.
+    Where all have been offered and more is open (long documents did not fit), they are offered again in further turns; see offers. So what stays open
+    is less than any document that fits and has fewer than cap copies, or CLOSE.
     A round takes all up to the first that doesn't fit and passes that over; the next round goes on behind it with the
-    documents that can still fit. Rows of equal id and text share a rank.
+    documents that can still fit. Rows of equal id and text share a place.
     """
     goal = written(source_levels(rows, weights, cap))
-    _, inclusion = expected(F.col("level"), F.col("size"), cap)
-    rank = pareto_rank(F.col("u"), inclusion)
-    pool = rows.where("size > 0").withColumn("key", source_key(F.col("source"))).join(goal.select("key", "level"), "key").select("key", "size", rank.alias("rank")).where("rank IS NOT NULL")
-    pool = pool.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+    places = offers(F.col("level"), F.col("size"), F.col("target"), F.col("u"), cap)
+    pool = rows.where("size > 0").withColumn("key", source_key(F.col("source"))).join(goal.select("key", "level", "target"), "key").select("key", "size", F.explode(places).alias("rank"))
+    pool = pool.withColumn("bin", F.floor(F.col("rank") * BINS))
     state, rounds, held = goal.select("key", (F.col("target") * CLOSE).alias("close"), F.lit(-1.0).alias("after"), F.col("words").alias("left")), [], None
     while True:
         done = written(front(pool, state))
@@ -160,10 +179,10 @@ def copies_of(rows: DataFrame, decisions: DataFrame, cap: int = CAP) -> DataFram
     """rows(source, size, u, ...) with source_size, target and copies of each row. Decisions are broadcast if they are few."""
     d = F.broadcast(decisions) if decisions.count() <= FEW_SOURCES else decisions
     joined = rows.withColumn("key", source_key(F.col("source"))).join(d, "key")
-    whole, inclusion = expected(F.col("level"), F.col("size"), cap)
-    joined = joined.withColumn("whole", whole).withColumn("rank", pareto_rank(F.col("u"), inclusion))
-    sampled = F.coalesce(F.exists("sampled", lambda r: (F.col("rank") > r["after"]) & (F.col("rank") <= r["upto"]) & (F.col("size") <= r["most"])), F.lit(False))
-    return joined.withColumn("copies", (F.col("whole") + sampled.cast("long")).cast("long")).drop("key", "level", "sampled", "whole", "rank")
+    whole, _ = expected(F.col("level"), F.col("size"), F.col("target"), cap)
+    joined = joined.withColumn("whole", whole).withColumn("places", offers(F.col("level"), F.col("size"), F.col("target"), F.col("u"), cap))
+    taken = F.filter("places", lambda p: F.exists("sampled", lambda r: (p > r["after"]) & (p <= r["upto"]) & (F.col("size") <= r["most"])))
+    return joined.withColumn("copies", (F.col("whole") + F.size(taken)).cast("long")).drop("key", "level", "sampled", "whole", "places")
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -207,19 +226,24 @@ WITH RECURSIVE r AS (
 ), t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, max((total - before) / rest) OVER () * weight) AS target FROM p
 ), b AS (
-  SELECT source, length(bin(size)) AS digits, sum(size)::BIGINT AS size FROM r GROUP BY ALL
+  SELECT r.source, length(bin(size)) AS digits, sum(size)::BIGINT AS size FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source WHERE size <= target GROUP BY ALL
 ), v AS (
-  SELECT b.*, target, CASE WHEN sum(digits * b.size) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 THEN (target
+  SELECT t.source, coalesce(digits, 0) AS digits, coalesce(b.size, 0) AS size, target, CASE WHEN sum(digits * b.size) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 THEN (target
     - (coalesce(sum(3 * b.size) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE) / (sum(digits * b.size) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE ELSE 0 END AS step
-  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source WINDOW x AS (PARTITION BY b.source ORDER BY digits DESC)
+  FROM t LEFT JOIN b ON b.source IS NOT DISTINCT FROM t.source WINDOW x AS (PARTITION BY t.source ORDER BY digits DESC)
 ), m AS (SELECT *, max(step) OVER (PARTITION BY source) AS level FROM v), g AS (
   SELECT source, max(level) AS level, max(target) AS target, max(target) - (sum(floor(least(3.0::DOUBLE, level * digits)) * size))::DOUBLE AS words FROM m GROUP BY source
 ), q AS (
-  SELECT r.*, t.source_size, t.target, words, least(3.0::DOUBLE, level * length(bin(size))) AS copies
+  SELECT r.*, t.source_size, t.target, words, CASE WHEN size <= t.target THEN least(3.0::DOUBLE, level * length(bin(size))) ELSE 0 END AS copies
   FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source JOIN g ON r.source IS NOT DISTINCT FROM g.source
+), f AS (
+  SELECT *, (u / (1.0::DOUBLE - u)) / ((copies - floor(copies)) / (1.0::DOUBLE - (copies - floor(copies)))) AS pareto, (u / (1.0::DOUBLE - u)) / length(bin(size)) AS again,
+    floor(copies) + CASE WHEN copies > floor(copies) THEN 1 ELSE 0 END AS has FROM q
+), o AS (
+  SELECT source, size, doc_id, u, pareto / (1.0::DOUBLE + pareto) AS rank, words, target FROM f WHERE copies > floor(copies) AND size > 0
+  UNION ALL SELECT source, size, doc_id, u, turn::DOUBLE + again / (1.0::DOUBLE + again), words, target FROM f, (VALUES (1), (2), (3)) turns(turn) WHERE size > 0 AND size <= target AND has + turn <= 3
 ), c AS (
-  SELECT source, (u / (1.0::DOUBLE - u)) / ((copies - floor(copies)) / (1.0::DOUBLE - (copies - floor(copies)))) AS rank, sum(size) AS size, max(words) AS words
-  FROM q WHERE copies > floor(copies) AND size > 0 GROUP BY ALL
+  SELECT source, rank, sum(size) AS size FROM o GROUP BY ALL
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS nth FROM c
 ), walk AS (
@@ -227,9 +251,10 @@ WITH RECURSIVE r AS (
   UNION ALL
   SELECT n.source, n.nth, CASE WHEN n.size <= walk.lacks AND walk.lacks > close THEN walk.lacks - n.size ELSE walk.lacks END,
     CASE WHEN n.size <= walk.lacks AND walk.lacks > close THEN n.rank ELSE -1.0::DOUBLE END, close
-  FROM walk JOIN n ON n.source IS NOT DISTINCT FROM walk.source AND n.nth = walk.nth + 1
+  FROM walk JOIN n ON n.source IS NOT DISTINCT FROM walk.source AND n.nth = walk.nth + 1 WHERE walk.lacks > close
+), k AS (
+  SELECT o.source, o.doc_id, o.u, o.size, count(DISTINCT o.rank) AS extra FROM o JOIN walk ON walk.source IS NOT DISTINCT FROM o.source AND walk.taken = o.rank GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target, (size * (floor(copies) + CASE WHEN copies > floor(copies) AND EXISTS (
-  SELECT 1 FROM walk WHERE walk.source IS NOT DISTINCT FROM q.source AND walk.taken = (u / (1.0::DOUBLE - u)) / ((copies - floor(copies)) / (1.0::DOUBLE - (copies - floor(copies))))
-) THEN 1 ELSE 0 END))::BIGINT AS taken FROM q
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * (floor(copies) + coalesce(extra, 0)))::BIGINT AS taken
+FROM q LEFT JOIN k ON q.source IS NOT DISTINCT FROM k.source AND q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.u = k.u AND q.size = k.size
 """
