@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 from pyspark.sql import Column
@@ -62,30 +64,65 @@ def entity_id(kind: Column | str, x: Column) -> Column:
     return F.when(s != "", F.concat_ws(":", F.lit(kind) if isinstance(kind, str) else kind, s))
 
 
-#: A year of a citation, with a letter perhaps.
-YEAR = r"(?:19|20)[0-9]{2}[a-zA-Z]?"
-#: What may stand in a bracket on either side of it.
-SIDE = "[^()]{0,140}"
+#: Fixed value: how far a year may be from the ends of a bracket that cites.
+BRACKET = 140
+#: Words of a name at most.
+NAME_WORDS = 4
+_CENTURY = "(19|20)[0-9][0-9]"
 
 
-def scrub_citations(x: Column) -> Column:
-    """Text without citations, cleaned: web addresses, DOIs, short brackets with a year, "Name et al. year", [1, 2] and "NAME year".
+def _cites(inside: Column) -> Column:
+    """Whether what a bracket holds has a year by itself, perhaps with a letter, that is near enough to both ends."""
+    found, n = F.lit(False), F.length(inside)
+    for year, size in ((_CENTURY, 4), (_CENTURY + "[a-zA-Z]", 5)):
+        # where such a year may be, with the character before and behind, which tell if it stands alone
+        first = F.greatest(n - BRACKET - size, F.lit(1))
+        found |= F.substring(inside, first, BRACKET + size + 2 - first).rlike(rf"\b{year}\b")
+    return found
+
+
+def _without_citing_brackets(x: Column) -> Column:
+    """The text cut at opening brackets: of each piece what goes before its closing bracket is left out if it cites."""
+    pieces = F.split(x, r"\(")
+    inside = lambda p: F.substring_index(p, ")", 1)
+    cites = lambda p: F.contains(p, F.lit(")")) & _cites(inside(p))
+    later = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.when(cites(p), F.concat(F.lit(" "), F.substring(p, F.length(inside(p)) + 2, F.length(p)))).otherwise(F.concat(F.lit("("), p)))
+    return F.concat(pieces[0], F.array_join(later, ""))
 
-    A bracket is one without inner brackets, of at most 140 characters on either side of the year, which stands as a word by itself.
+
+def _without_names_before(x: Column, sign: str, word: str) -> Column:
+    """The text without each sign that has a name right before it, and without that name: as many as NAME_WORDS words, back to one that is none.
+
+    word is the pattern of a word of a name; of a first word that begins with something else its end is taken. A sign without a name stays.
     """
-    capital = r"\p{Lu}\p{Lu}+"
-    steps = (
-        r"(?i)(?:https?://|www\.)\S+",
-        r"(?i)(?:\bdoi:?\s*)?\b10\.[0-9]{4,9}/\S+",
-        rf"\((?={SIDE}\b{YEAR}\b{SIDE}\))[^()]+\)",
-        rf"(?iU)\b\p{{L}}[\p{{L}}'’-]+(?:\s+\p{{L}}[\p{{L}}'’-]+){{0,3}}?\s+et\s+al\b\.?\s*,?\s*\(?\s*{YEAR}\b\s*\)?",
-        r"\[\s*[0-9]+(?:[\s,;-]+[0-9]+)*[\s,;]*\]",
-        rf"(?U)\b{capital}(?:\s+{capital}){{0,3}}\s*,?\s*{YEAR}\b",
+    signs, pieces = F.regexp_extract_all(x, F.lit(sign), F.lit(0)), F.split(x, sign)
+    start = F.struct(F.lit(0).alias("cut"), F.lit(False).alias("done"))
+
+    def back(a: Column, w: Column) -> Column:
+        end = F.regexp_extract(w, rf"(?<![0-9_])(?:{word})$", 0)
+        done = a["done"] | (end == "")
+        return F.struct((a["cut"] + F.when(done, 0).otherwise(F.length(end) + 1)).alias("cut"), (done | (end != w)).alias("done"))
+
+    name = lambda p: F.aggregate(F.slice(F.reverse(F.split(F.rtrim(p), " ")), 1, NAME_WORDS), start, back)["cut"]
+    told = F.arrays_zip(F.transform(pieces, lambda p: F.struct(p.alias("text"), name(p).alias("cut"))).alias("piece"), signs.alias("sign"))
+    put = lambda t: F.when(t["sign"].isNull(), t["piece"]["text"]).when(t["piece"]["cut"] == 0, F.concat(t["piece"]["text"], t["sign"])).otherwise(
+        F.concat(F.substring(F.rtrim(t["piece"]["text"]), F.lit(1), F.greatest(F.length(F.rtrim(t["piece"]["text"])) - t["piece"]["cut"], F.lit(0))), F.lit(" "))
     )
-    x = clean_text(x)
-    for pattern in steps:
-        x = F.regexp_replace(x, pattern, " ")
-    return clean_text(x)
+    return F.array_join(F.transform(told, put), "")
+
+
+def scrub_citations(x: Column) -> Column:
+    """Text without citations, cleaned: web addresses, DOIs, brackets with a year near their ends, "Name et al. year", [1, 2] and "NAME year".
+
+    A bracket is one without inner brackets, and its year a word by itself. A name is up to four words; those before "et al" have letters, apostrophes
+    and hyphens, those before a bare year capitals only.
+    """
+    for pattern in (r"(?i)(?:https?://|www\.)\S+", r"(?i)(?:\bdoi:?\s*)?\b10\.[0-9]{4,9}/\S+"):
+        x = F.regexp_replace(clean_text(x), pattern, " ")
+    x = _without_citing_brackets(clean_text(x))
+    x = _without_names_before(clean_text(x), rf"(?i)\bet al\b[ .,(]*{_CENTURY}[a-z]?\b[ )]*", r"\p{L}[\p{L}'’-]+")
+    x = F.regexp_replace(x, r"\[\s*[0-9]+(?:[\s,;-]+[0-9]+)*[\s,;]*\]", " ")
+    return clean_text(_without_names_before(clean_text(x), rf"[ ,]+{_CENTURY}[a-zA-Z]?\b", r"\p{Lu}\p{Lu}+"))
 
 
 def capitalised(x: Column) -> Column:
@@ -120,10 +157,20 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(fold(x), F.lit("[a-z][a-z0-9]+"), F.lit(0))
 
 
+#: What names of programs and files have besides letters and digits, and which of it never ends a word of code.
+MARKS = "+-./#_"
+NO_END = "-./_"
+
+
+def _runs(x: Column) -> Column:
+    """Folded runs of letters, digits and marks."""
+    return F.split(fold(x), f"[^a-z0-9{re.escape(MARKS)}]+")
+
+
 def code_tokens(x: Column) -> Column:
-    """Folded words that may hold the marks of names of programs and files, without such marks at the end, of two or more characters."""
-    found = F.regexp_extract_all(fold(x), F.lit("[a-z0-9][a-z0-9_+.#/-]*"), F.lit(0))
-    return F.filter(F.transform(found, lambda w: F.regexp_replace(w, "[._/-]+$", "")), lambda w: F.length(w) > 1)
+    """Folded words that may hold the marks of names of programs and files, but not at the beginning, and some not at the end; of two or more characters."""
+    bare = F.transform(_runs(x), lambda w: F.rtrim(F.ltrim(w, F.lit(MARKS)), F.lit(NO_END)))
+    return F.filter(bare, lambda w: F.length(w) > 1)
 
 
 def ngrams(tokens: Column, n: int = 2) -> Column:
@@ -221,8 +268,9 @@ def leading_year(x: Column) -> Column:
 
 
 def marked_words(x: Column) -> Column:
-    """Folded words of two or more characters that begin with a letter and may hold the marks of names of programs, such as scikit-learn, but not at the end."""
-    return F.regexp_extract_all(fold(x), F.lit("[a-z][a-z0-9_+.#/-]*[a-z0-9_]"), F.lit(0))
+    """Folded words of two or more characters that begin with a letter and may hold the marks of names of programs, such as scikit-learn; of those only the low line may end one."""
+    bare = F.transform(_runs(x), lambda w: F.rtrim(F.ltrim(w, F.lit(MARKS + "0123456789")), F.lit(MARKS.replace("_", ""))))
+    return F.filter(bare, lambda w: F.length(w) > 1)
 
 
 def canonical_url(x: Column) -> Column:
