@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ LEARN_DOCS, LEARN_CHARS = 40, 40_000
 SYMBOL, ODD = 21, 0x9E3779B97F4A7C15
 #: Symbols of a piece, those for which all pieces go on beyond their ends together, and bytes of text that a task parses at once; none changes a result.
 PIECE, BEYOND, TOGETHER = 256, 48, 2 << 20
+#: Symbols times languages that are held at once (one language at least).
+CELLS = 1 << 24
 SHARPNESS = 8.0
 
 
@@ -155,7 +158,12 @@ class CrossParser:
         return to, begins
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text with each language.
+        """Phrases of each text with each language, so many languages at a time that what is held is in proportion to the texts alone."""
+        some = max(1, CELLS // max(1, sum(map(len, coded))))
+        return np.concatenate([np.zeros((len(coded), 0), np.int64), *(self.parsed(coded, self.starts[k : k + some]) for k in range(0, len(self.starts), some))], axis=1)
+
+    def parsed(self, coded: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Phrases of each text with each of some languages, given by the first states of their automata.
 
         Texts are cut into pieces that are parsed side by side, each as if a phrase began with it. A piece's parse then goes on beyond its
         end until one of its phrases begins where one does in the parse of the piece it has come to: from there both are the
@@ -170,8 +178,8 @@ class CrossParser:
         text = np.repeat(np.arange(len(coded)), pieces)
         begin = (ends - sizes)[text] + (np.arange(len(text)) - first[text]) * PIECE
         end = np.minimum(begin + PIECE, ends[text])
-        width = len(self.starts)
-        start = np.repeat(self.starts, len(text))  # languages one after the other, their pieces within
+        width = len(starts)
+        start = np.repeat(starts, len(text))  # languages one after the other, their pieces within
         state, told = start.copy(), np.zeros((width, len(flat) + 1), bool)
         for j in range(PIECE):
             open_ = np.flatnonzero(begin + j < end)
@@ -180,7 +188,7 @@ class CrossParser:
             at = open_ if len(open_) < len(text) else slice(None)
             place = begin[at] + j
             now = state.reshape(width, -1)[:, at].ravel()
-            to, begins = self.advance(now, np.tile(flat[place], width), np.repeat(self.starts, len(place)))
+            to, begins = self.advance(now, np.tile(flat[place], width), np.repeat(starts, len(place)))
             state.reshape(width, -1)[:, at] = to.reshape(width, -1)
             told[:, place] = begins.reshape(width, -1)
         # beyond the ends
@@ -216,7 +224,7 @@ class CrossParser:
             found[k, d] += before[k, end[q]] - before[k, at[on]] + over[r]
             at[on] = place[r]
             for i in np.flatnonzero(open_[r]).tolist():
-                more, at[on[i]] = self.alone(int(state[r[i]]), symbols, int(place[r[i]]), int(ends[d[i]]), int(self.starts[k[i]]), begun[k[i]])
+                more, at[on[i]] = self.alone(int(state[r[i]]), symbols, int(place[r[i]]), int(ends[d[i]]), int(starts[k[i]]), begun[k[i]])
                 found[k[i], d[i]] += more
 
     def alone(self, state: int, symbols: memoryview, place: int, end: int, start: int, told: memoryview) -> tuple[int, int]:
@@ -253,8 +261,8 @@ def parser_of(texts: tuple[tuple[str, str], ...]) -> CrossParser:
 def labelled_text(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """(lang, text) pairs: a sample of whole texts of each language outside the held-out fold, in the order of a hash of the id.
 
-    At most LEARN_DOCS documents of a language; one with which their lengths would pass LEARN_CHARS is passed over, unless it is
-    the only one. Ids are ranked after a threshold on the hash that leaves about two times as many, so that no task ranks all of
+    At most LEARN_DOCS documents of a language; one with which their lengths would pass LEARN_CHARS is passed over, and where none is short enough
+    the shortest is taken. Ids are ranked after a threshold on the hash that leaves about two times as many, so that no task ranks all of
     a language. Of several texts of an id the first by code point counts.
     """
     fold = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -263,16 +271,22 @@ def labelled_text(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     rates = fold.groupBy("lang").agg(((2 * LEARN_DOCS + 40) / F.count("*")).alias("rate"))
     near = fold.join(F.broadcast(rates), "lang").where(place < F.col("rate")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id")
-    rows = near.withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEARN_DOCS}").orderBy("lang", "nth").select("lang", "text").toPandas()
-    found = []
-    for lang, part in rows.groupby("lang", sort=True):
-        kept, total = [], 0
-        for text in part["text"]:
-            if total + len(text) <= LEARN_CHARS:
-                kept.append(text)
-                total += len(text)
-        found.append((lang, "\n".join(kept or part["text"][:1])))
-    return tuple(found)
+    ranked = near.withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEARN_DOCS}")
+    # numbers alone reach the driver first: LEARN_DOCS a language, then the chosen texts
+    rows = ranked.select("lang", "doc_id", "nth", F.length("text").alias("n")).orderBy("lang", "nth").collect()
+    chosen = []
+    for _, part in groupby(rows, key=lambda r: r.lang):
+        part, total, kept = list(part), 0, []
+        for r in part:
+            if total + r.n <= LEARN_CHARS:
+                kept.append(r)
+                total += r.n
+        chosen += kept or [min(part, key=lambda r: (r.n, r.nth))]
+    spark = docs.sparkSession
+    asked = spark.createDataFrame([(r.lang, r.doc_id, r.nth) for r in chosen], f"lang string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, nth int")
+    texts = near.join(F.broadcast(asked), ["lang", "doc_id"]).select("lang", "nth", "text").collect()
+    texts = sorted(texts, key=lambda r: (r.lang, r.nth))
+    return tuple((lang, "\n".join(r.text for r in part)) for lang, part in groupby(texts, key=lambda r: r.lang))
 
 
 def languages(docs: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
