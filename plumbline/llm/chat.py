@@ -51,17 +51,20 @@ def formatted(turns: DataFrame, control: tuple[str, ...] = CONTROL, learned: str
     A block is START role MESSAGE text END, with NEXT between its texts; control strings in roles and texts are escaped. loss are the
     spans (start, end) in code points of formatted, the end exclusive, of the learned role's texts, as they are escaped; texts without characters have none.
     A null role or text counts as empty, a null conv_id is a conversation of its own; other columns are ignored; an empty table gives an empty one.
-    A conversation is one row and has to fit in one; its turns meet in one shuffle, escaped before it.
+    A conversation is one row and has to fit in one; its turns meet in one shuffle.
     """
     check_control(control)
-    said = turns.select(
-        "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said")
-    ).select("conv_id", F.struct("said.turn", "said.role", "said.text", escape(F.col("said.role"), control).alias("name"), escape(F.col("said.text"), control).alias("body")).alias("said"))
+    said = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"))
     sorted_turns = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(F.col("turns.role"), 1, F.greatest(F.size("turns") - 1, F.lit(0))))
-    # each turn opens its block, after the end of the one before, or goes on in it
-    mark = lambda t, r: F.when(r.isNull(), F.concat(F.lit(START), t["name"], F.lit(MESSAGE))).when(r == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END + START), t["name"], F.lit(MESSAGE)))
-    pieces = F.zip_with("turns", before, lambda t, r: F.struct(mark(t, r).alias("mark"), t["body"].alias("body"), (t["role"] == learned).alias("learned")))
+
+    def piece(t: Column, r: Column) -> Column:
+        """Each turn opens its block, after the end of the one before (whose role is r), or goes on in it."""
+        opens = F.concat(F.lit(START), escape(t["role"], control), F.lit(MESSAGE))
+        mark = F.when(r.isNull(), opens).when(r == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), opens))
+        return F.struct(mark.alias("mark"), escape(t["text"], control).alias("body"), (t["role"] == learned).alias("learned"))
+
+    pieces = F.zip_with("turns", before, piece)
     with_pieces = sorted_turns.select("conv_id", pieces.alias("pieces"))
     step = lambda a, p: F.struct(
         (a["at"] + F.length(p["mark"]) + F.length(p["body"])).alias("at"),
