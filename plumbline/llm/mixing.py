@@ -155,8 +155,8 @@ def decide(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     goal = written(source_levels(rows, weights, cap))
     places = offers(F.col("level"), F.col("size"), F.col("target"), F.col("u"), cap)
     pool = rows.where("size > 0").withColumn("key", source_key(F.col("source"))).join(goal.select("key", "level", "target"), "key").select("key", "size", F.explode(places).alias("rank"))
-    pool = pool.withColumn("bin", F.floor(F.col("rank") * BINS))
-    state, rounds, held = goal.select("key", (F.col("target") * CLOSE).alias("close"), F.lit(-1.0).alias("after"), F.col("words").alias("left")), [], None
+    pool = written(pool.withColumn("bin", F.floor(F.col("rank") * BINS)))
+    state, rounds, held = goal.select("key", (F.col("target") * CLOSE).alias("close"), F.lit(-1.0).alias("after"), F.col("words").alias("left")), [], pool
     while True:
         done = written(front(pool, state))
         rounds.append(done)
