@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from plumbline.llm.bpe import default_vocabulary, encode_documents
-from plumbline.llm.common import read, written
+from plumbline.llm.common import discard, read, written
 from plumbline.llm.exact_dedup import without_copies
 from plumbline.llm.mixing import mixed_documents
 from plumbline.llm.quality import good_documents
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, one after the other."""
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
-    return written(STAGES[-1][1](spark, docs, sf_dir))
+        discard(before)
+        before = docs
+    return docs

@@ -9,10 +9,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import numbered, written
+from plumbline.llm.common import discard, numbered, written
 from plumbline.llm.components import components
 from plumbline.llm.simhash import golay_index
 
@@ -27,7 +27,9 @@ RATE, RECALL = 0.13, 0.97
 GOLAY_BITS, MOST_BITS = 23, 15
 #: Two unrelated segments share a key this often, as a power of two; whole bits tell apart what else would meet.
 GOLAY_SAYS = 7
-#: Pairs are candidates within a bucket of at most so many rows; the rows of a larger one pair with its first PIVOTS. A row is held against
+#: Tables at least: few rows need few whole bits, and more tables then cost little and find pairs of a higher rate.
+LEAST_TABLES = 24
+#: Pairs are candidates within a bucket of at most so many rows; a row of a larger one pairs with the closest of its first PIVOTS. A row is held against
 #: FIRST partners first, and texts meet in SALTS parts of a partner that very many have.
 FEW, PIVOTS, FIRST, SALTS = 32, 6, 3, 16
 #: Bits of a set's own fingerprint, in parts of 64, and how many of them sets of that similarity may differ in: their cosine is 8 / 9 at least, so a
@@ -50,7 +52,7 @@ def shape_of_tables(n: int) -> tuple[int, int]:
     """(whole bits of a key, tables) for n texts: a bucket holds about one unrelated text, however many there are."""
     whole = min(31, max(4, math.ceil(math.log2(max(n, 1))) - GOLAY_SAYS))
     met = (1 - RATE) ** whole * meeting(RATE)
-    return whole, math.ceil(math.log(1 - RECALL) / math.log(1 - met))
+    return whole, max(LEAST_TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -102,11 +104,11 @@ def keyed(docs: DataFrame, whole: int, tables: int) -> DataFrame:
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a, b), a < b, of rows (key, row, fp) sorted by key and row: all of a bucket, or of one of more than FEW rows
-    those with its first PIVOTS. The rows of such buckets are also passed on as (key, a, fp), b null."""
+    each with the closest of its first PIVOTS. The rows of such buckets are also passed on as (key, a, fp), b null."""
     held = [np.zeros(0, np.int64)] * 3
 
-    def close(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= MOST_BITS  # of signed numbers it would count the absolute value
+    def apart(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64))  # of signed numbers it would count the absolute value
 
     def rows(key: np.ndarray, row: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.nulls(len(row), pa.int64()), pa.array(fp)], names=["key", "a", "b", "fp"])
@@ -116,11 +118,14 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at, many = np.unique(key, return_inverse=True, return_counts=True)
         crowded, first = (many[at] > FEW) | large, np.searchsorted(key, key)
         pairs, every = [], np.arange(len(key))
+        pivot, least = np.zeros(len(key), np.int64), np.full(len(key), MOST_BITS + 1)
         for p in range(PIVOTS):
             j = every[crowded & (every > first + p) & (every >= begin)]
-            i = first[j] + p
-            ok = close(fp, i, j)
-            pairs.append(np.stack((row[i[ok]], row[j[ok]])))
+            bits = apart(fp, first[j] + p, j)
+            closer = bits < least[j]
+            pivot[j[closer]], least[j[closer]] = first[j[closer]] + p, bits[closer]
+        j = np.flatnonzero(least <= MOST_BITS)
+        pairs.append(np.stack((row[pivot[j]], row[j])))
         passed = crowded & (every >= begin)
         if passed.any():
             yield rows(key[passed], row[passed], fp[passed])
@@ -129,7 +134,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero(key[d:] == key[:-d])
             if not len(i):
                 break
-            i = i[close(fp, i, i + d)]
+            i = i[apart(fp, i, i + d) <= MOST_BITS]
             pairs.append(np.stack((row[i], row[i + d])))
         both = np.unique(np.concatenate(pairs, axis=1), axis=1)
         if both.shape[1]:
@@ -160,25 +165,31 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*held)
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets may be similar enough by their fingerprints and sizes, so that whole sets move for few others."""
-    side = lambda c: sets.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
-    bits = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    sizes = (2 * NEAR_PARTS + 1) * F.least("na", "nb") >= NEAR_PARTS * (F.col("na") + F.col("nb"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return met.where(sizes & ((F.least("na", "nb") < SMALL) | (bits <= MOST_SET_BITS))).select("a", "b")
+def marks(sets: DataFrame, side: str) -> list:
+    """Columns of sets(row, n, sig) for one side of a pair."""
+    return [F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"sig{side}")]
+
+
+def set_bits(a: str = "a", b: str = "b") -> Column:
+    """In how many bits the fingerprints of two sets differ."""
+    return F.aggregate(F.zip_with(f"sig{a}", f"sig{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+
+
+def likely(a: str = "a", b: str = "b") -> Column:
+    """Whether two sets may be similar enough by their fingerprints and sizes, so that whole sets move for few others."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    return ((2 * NEAR_PARTS + 1) * F.least(na, nb) >= NEAR_PARTS * (na + nb)) & ((F.least(na, nb) < SMALL) | (set_bits(a, b) <= MOST_SET_BITS))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, salts: int = 1) -> DataFrame:
     """The pairs (a, b) whose sets(row, h) are similar enough, exactly. Each b meets its a in one of so many parts, so that an a may have very many;
     only sets of an a are repeated."""
-    pairs = written(likely(pairs, sets))
     h = sets.select("row", "h")
     one = h.select(F.col("row").alias("a"), F.col("h").alias("ha"))
     if salts > 1:
         one = one.join(pairs.select("a").distinct(), "a", "left_semi")
     one = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = pairs.join(h.select(F.col("row").alias("b"), F.col("h").alias("hb")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts))).join(one, ["a", "salt"])
+    met = pairs.select("a", "b").join(h.select(F.col("row").alias("b"), F.col("h").alias("hb")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts))).join(one, ["a", "salt"])
     same = F.size(F.array_intersect("ha", "hb"))
     return met.where((2 * NEAR_PARTS + 1) * same >= NEAR_PARTS * (F.size("ha") + F.size("hb"))).select("a", "b")
 
@@ -205,7 +216,8 @@ def near_links(docs: DataFrame) -> DataFrame:
 
     Pairs of a bucket are candidates if the first 64 bits of their fingerprints are close. Each row is held against its first partners; after
     that only pairs between different components are: the other candidates, and in a crowded bucket, which copies of one text fill, the rows outside
-    its largest component with all others. So a group of copies costs its rows and not its pairs.
+    its largest component with all others, as far as the fingerprints of their sets allow. Two components are first compared by their closest pair, and by
+    the others only if they are still apart. So a group of copies costs its rows and not its pairs.
     """
     whole, tables = shape_of_tables(docs.count())
     met = written(keyed(docs, whole, tables).repartition("key").sortWithinPartitions("key", "row").mapInArrow(bucket_pairs, "key long, a long, b long, fp long"))
@@ -213,19 +225,36 @@ def near_links(docs: DataFrame) -> DataFrame:
     pairs = written(met.where("b IS NOT NULL").select("a", "b").distinct())
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).union(crowded.select("row")).distinct())
     sets = written(shingle_sets(docs.join(nodes, "row", "left_semi")))
+    discard(nodes)
     first = _first_partners(pairs)
-    links = written(verified(first, sets, SALTS))
-    of = written(components(links).select(F.col("node").alias("row"), "component"))
-    own = lambda df, c: df.join(of.toDF(c, f"of_{c}"), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    apart = own(own(pairs.join(first, ["a", "b"], "left_anti"), "a"), "b").where("of_a <> of_b").select("a", "b")
-    placed = written(own(crowded, "row").withColumnRenamed("of_row", "component"))
+    chosen = written(first.join(sets.select(*marks(sets, "b")), "b").join(sets.select(*marks(sets, "a")), "a").where(likely()).select("a", "b"))
+    links = written(verified(chosen, sets, SALTS))
+    discard(chosen)
+    # of the other candidates only those between components, told where they meet
+    of = components(links).select(F.col("node").alias("row"), "component")
+    marked = written(sets.select("row", "n", "sig").join(of, "row", "left").withColumn("component", F.coalesce("component", "row")))
+    side = lambda c: marked.select(*marks(marked, c), F.col("component").alias(f"of_{c}"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(side("b"), "b").join(side("a"), "a").where((F.col("of_a") != F.col("of_b")) & likely())
+    placed = written(crowded.join(marked, "row").select("key", "row", "fp", "component", "n", "sig"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
     split = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
-    outside = placed.join(split, "key").where("component <> main").select("key", F.col("row").alias("a"), F.col("fp").alias("fq"), F.col("component").alias("own"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= MOST_BITS
-    rest = placed.join(outside, "key").where((F.col("component") != F.col("own")) & close).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
-    rest = written(rest.union(apart).distinct())
-    return links.union(written(verified(rest, sets, SALTS)))
+    outside = placed.join(split, "key").where("component <> main").select("key", F.col("fp").alias("fpa"), *marks(placed, "a"), F.col("component").alias("of_a"))
+    inside = placed.select("key", F.col("fp").alias("fpb"), *marks(placed, "b"), F.col("component").alias("of_b"))
+    close = F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= MOST_BITS
+    rest = inside.join(outside, "key").where((F.col("of_a") != F.col("of_b")) & close & likely())
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("of_a", "of_b").alias("low"), F.greatest("of_a", "of_b").alias("high"), set_bits().alias("bits")]
+    rest = written(rest.select(*ends).union(apart.select(*ends)).distinct())
+    discard(met, pairs, first, placed)
+    # the closest pair of two components settles them, mostly; only where it didn't, their other pairs are compared
+    best = written(rest.groupBy("low", "high").agg(F.min(F.struct("bits", "a", "b")).alias("best")).select("best.a", "best.b"))
+    settled = written(verified(best, sets, SALTS))
+    joined = written(components(settled.join(marked.select(F.col("row").alias("a"), F.col("component").alias("of_a")), "a").join(marked.select(F.col("row").alias("b"), F.col("component").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    now = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")), c, "left").withColumn(f"now_{c}", F.coalesce(f"now_{c}", c))
+    last = written(now(now(rest.join(best, ["a", "b"], "left_anti"), "low"), "high").where("now_low <> now_high").select("a", "b"))
+    discard(rest, best, marked, joined)
+    final = written(verified(last, sets, SALTS))
+    discard(last, sets)
+    return links.union(settled).union(final)
 
 
 def _first_partners(pairs: DataFrame) -> DataFrame:
