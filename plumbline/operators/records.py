@@ -11,19 +11,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A step of a path is a quoted key, with backslashes before quotes and backslashes, or a number.
-SEGMENT = r"\['((?:[^'\\]|\\.)*)'\]|\[(\d+)\]"
+KEY, INDEX = r"\['(?:[^'\\]|\\.)*'\]", r"\[\d+\]"
+
+
+def step_name(step: Column) -> Column:
+    """The key or index of a step, unescaped."""
+    bare = F.when(step.startswith("['"), F.substring(step, F.lit(3), F.length(step) - 4)).otherwise(F.substring(step, F.lit(2), F.length(step) - 2))
+    return F.when(bare.contains("\\"), F.regexp_replace(bare, r"\\(.)", "$1")).otherwise(bare)
 
 
 def path_segments(path: Column) -> Column:
     """$['a'][2] as ["a", "2"]; quotes and backslashes are unescaped. A null path gives null."""
-    found = F.regexp_extract_all(path, F.lit(SEGMENT), F.lit(0))
-    return F.transform(found, lambda s: F.regexp_replace(F.regexp_replace(s, r"^\['?|'?\]$", ""), r"\\(.)", "$1"))
+    return F.transform(F.regexp_extract_all(path, F.lit(f"{KEY}|{INDEX}"), F.lit(0)), step_name)
+
+
+def written(key: str) -> str:
+    """A key as a step is written."""
+    return "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def placed(leaves: DataFrame, key: str, specs: list[tuple[str, str]]) -> DataFrame:
+    """(key, family, prefix, wildcard, ordinal, rest, name, below, text) of the leaves with text whose keys begin with those of a spec, the first that fits.
+
+    A spec is key names joined by dots, * for any one; indices may stand before, between and after them and count to the prefix. Keys are
+    taken from a path once and compared as they are written; the prefix is told by one pattern for its number of keys. So a leaf costs two
+    patterns, however many specs there are. rest is the path behind the prefix; name is its last key in lower case, null if it ends in an
+    index; below is the number of keys in it; wildcard is the key that the spec's last * stands for.
+    """
+    rows = leaves.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, "ordinal", "text", "path", F.regexp_extract_all("path", F.lit(KEY), F.lit(0)).alias("keys"))
+
+    def hit(name: str, spec: str) -> Column:
+        parts = spec.split(".")
+        fits = [F.get("keys", F.lit(i)).isNotNull() if p == "*" else F.get("keys", F.lit(i)) == written(p) for i, p in enumerate(parts)]
+        star = F.get("keys", F.lit(len(parts) - 1 - parts[::-1].index("*"))) if "*" in parts else F.lit("")
+        prefix = F.regexp_extract("path", rf"^(\$(?:{INDEX})*(?:{KEY}(?:{INDEX})*){{{len(parts)}}})", 1)
+        return F.when(reduce(lambda a, b: a & b, fits), F.struct(F.lit(name).alias("family"), F.lit(len(parts)).alias("depth"), star.alias("star"), prefix.alias("prefix")))
 
+    # as rows of a one-element array, so that a filter doesn't repeat the patterns
+    found = rows.select(key, "ordinal", "text", "path", "keys", F.inline(F.array(F.coalesce(*[hit(n, s) for n, s in specs])))).where("prefix <> ''")
+    name = F.when(F.endswith("path", F.lit("']")), F.lower(step_name(F.element_at("keys", -1))))
+    wild = F.when(F.col("star") == "", "").otherwise(step_name(F.col("star")))
+    rest = F.expr("substring(path, length(prefix) + 1)")
+    return found.select(key, "family", "prefix", wild.alias("wildcard"), "ordinal", rest.alias("rest"), name.alias("name"), (F.size("keys") - F.col("depth")).alias("below"), "text")
 
-def spec_pattern(spec: str) -> str:
-    """A pattern whose group 1 is the concrete prefix of a spec: key names joined by dots, * for any one; indices may stand between and after."""
-    parts = [r"\['" + ("(?:[^'\\\\]|\\\\.)*" if p == "*" else re.escape(p.replace("\\", "\\\\").replace("'", "\\'"))) + r"'\](?:\[\d+\])*" for p in spec.split(".")]
-    return r"^(\$(?:\[\d+\])*" + "".join(parts) + ")"
+
+def _flat() -> Column:
+    """Whether keys alone stand behind the prefix, one at least."""
+    return F.col("rest").rlike(f"^(?:{KEY})+$")
 
 
 def gather(leaves: DataFrame, key: str, specs: dict[str, str], fields: dict[str, list[str]]) -> DataFrame:
@@ -33,17 +67,14 @@ def gather(leaves: DataFrame, key: str, specs: dict[str, str], fields: dict[str,
     earliest of its names (case aside), then the smallest ordinal; leaves inside nested lists are not looked at. Empty
     values and the bare prefix count as absent; a record without any leaf left has no row. Extra columns are ignored.
     """
-    matched = [F.when(F.col("path").rlike(spec_pattern(s)), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("path", spec_pattern(s), 1).alias("prefix"))) for kind, s in specs.items()]
-    rows = leaves.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, "ordinal", "path", "text", F.coalesce(*matched).alias("m")).where("m IS NOT NULL")
-    rows = rows.select(key, "ordinal", "text", "m.*", F.expr("substring(path, length(m.prefix) + 1)").alias("rest")).where("rest != ''")
-    rows = rows.withColumn("segments", path_segments(F.col("rest"))).withColumn("name", F.lower(F.element_at("segments", -1))).withColumn("flat", ~F.col("rest").rlike(r"\[\d+\]"))
+    rows = placed(leaves, key, list(specs.items())).where("rest <> ''").withColumn("flat", _flat())
 
     def first(names: list[str]) -> Column:
         place = reduce(lambda c, n: c.when(F.col("name") == n.lower(), F.lit(names.index(n))), names[1:], F.when(F.col("name") == names[0].lower(), F.lit(0)))
-        wanted = F.when(F.col("flat") & place.isNotNull(), F.struct(F.size("segments"), place, "ordinal"))
+        wanted = F.when(F.col("flat") & place.isNotNull(), F.struct("below", place, "ordinal"))
         return F.min_by(F.when(wanted.isNotNull(), F.col("text")), wanted)
 
-    return rows.groupBy(key, "kind", "prefix").agg(*[first(names).alias(field) for field, names in fields.items()])
+    return rows.groupBy(key, F.col("family").alias("kind"), "prefix").agg(*[first(names).alias(field) for field, names in fields.items()])
 
 
 @dataclass(frozen=True)
@@ -62,23 +93,9 @@ class Family:
     aliases: dict[str, str] = field(default_factory=dict)
 
 
-def matched(path: Column, families: list[Family]) -> Column:
-    """struct(family, prefix, wildcard) of the first family whose spec begins the path, null if none. Specs that begin with two plain names go before those that don't, each in the order given."""
-
-    def hit(f: Family) -> Column:
-        star = re.findall(r"\*", f.spec)
-        pattern = spec_pattern(f.spec)
-        parts = f.spec.split(".")
-        wild = F.element_at(F.filter(path_segments(F.regexp_extract(path, pattern, 1)), lambda s: ~s.rlike("^[0-9]+$")), len(parts) - parts[::-1].index("*")) if star else F.lit("")
-        return F.when(path.rlike(pattern), F.struct(F.lit(f.name).alias("family"), F.regexp_extract(path, pattern, 1).alias("prefix"), wild.alias("wildcard")))
-
-    return F.coalesce(*map(hit, sorted(families, key=lambda f: "*" in f.spec.split(".")[:2])))
-
-
 def under(leaves: DataFrame, key: str, families: list[Family]) -> DataFrame:
-    """(key, family, prefix, wildcard, ordinal, rest, text) of the leaves with text under a record."""
-    rows = leaves.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, "ordinal", "path", "text", matched(F.col("path"), families).alias("m")).where("m IS NOT NULL")
-    return rows.select(key, "m.*", "ordinal", F.expr("substring(path, length(m.prefix) + 1)").alias("rest"), "text")
+    """placed() leaves of families: those whose specs begin with two plain names go before those that don't, each in the order given."""
+    return placed(leaves, key, [(f.name, f.spec) for f in sorted(families, key=lambda f: "*" in f.spec.split(".")[:2])])
 
 
 def shape(leaves: DataFrame, key: str, families: list[Family], source: str) -> DataFrame:
@@ -87,14 +104,13 @@ def shape(leaves: DataFrame, key: str, families: list[Family], source: str) -> D
     A field takes the leaf with the fewest keys below the record, then the earliest of its names (case aside), then the smallest ordinal;
     leaves inside nested lists are not looked at. The id is a digest of key, family, source and place, so it stays while the record stays there.
     """
-    rows = under(leaves, key, families).withColumn("segments", path_segments(F.col("rest"))).where(F.size("segments") > 0)
-    rows = rows.withColumn("name", F.lower(F.element_at("segments", -1))).withColumn("flat", ~F.col("rest").rlike(r"\[\d+\]"))
+    rows = under(leaves, key, families).where("rest <> ''").withColumn("flat", _flat())
     of = {f.name: f for f in families}
 
     def first(column: str) -> Column:
         tests = [((F.col("family") == f) & (F.col("name") == n.lower()), i) for f, x in of.items() for i, n in enumerate(x.fields.get(column, []))]
         place = reduce(lambda c, t: c.when(t[0], F.lit(t[1])), tests[1:], F.when(tests[0][0], F.lit(tests[0][1])))
-        wanted = F.when(F.col("flat") & place.isNotNull(), F.struct(F.size("segments"), place, "ordinal"))
+        wanted = F.when(F.col("flat") & place.isNotNull(), F.struct("below", place, "ordinal"))
         return F.min_by(F.when(wanted.isNotNull(), F.col("text")), wanted).alias(column)
 
     columns = list(dict.fromkeys(c for f in families for c in f.fields))
@@ -190,6 +206,5 @@ def mentoring_rows(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 
 def matching_leaves(leaves: DataFrame, key: str, families: list[Family], pattern: str) -> DataFrame:
     """(key, family, prefix, texts): the texts of a record's leaves whose name, case aside, has the pattern, in their order; leaves in lists too."""
-    name = F.lower(F.element_at(path_segments(F.col("rest")), -1))
-    rows = under(leaves, key, families).where(name.rlike(pattern))
+    rows = under(leaves, key, families).where("rest <> ''").where(F.col("name").rlike(pattern))
     return rows.groupBy(key, "family", "prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]).alias("texts"))

@@ -346,10 +346,10 @@ def _(t):
     return t("supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v")).orderBy(F.col("v").asc_nulls_last(), "s_suppkey")
 
 
-@query("U02_atoms", "SELECT 'order' AS kind, o_orderkey AS id, o_orderpriority AS text FROM orders UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'turn', conv_id * 100 + turn, text FROM conversations UNION ALL SELECT 'item', item_id, text FROM benchmark")
+@query("U02_atoms", "SELECT 'order' AS kind, o_orderkey::VARCHAR AS id, o_orderpriority AS text FROM orders UNION ALL SELECT 'part', p_partkey::VARCHAR, p_name FROM part UNION ALL SELECT 'turn', conv_id || '/' || turn, text FROM conversations UNION ALL SELECT 'item', item_id::VARCHAR, text FROM benchmark")
 def _(t):
-    parts = [("order", "orders", "o_orderkey", "o_orderpriority"), ("part", "part", "p_partkey", "p_name"), ("turn", "conversations", "conv_id * 100 + turn", "text"), ("item", "benchmark", "item_id", "text")]
-    return reduce(lambda a, b: a.unionByName(b), [t(n).selectExpr(f"'{k}' AS kind", f"{i} AS id", f"{x} AS text") for k, n, i, x in parts])
+    parts = [("order", "orders", "o_orderkey", "o_orderpriority"), ("part", "part", "p_partkey", "p_name"), ("turn", "conversations", "concat_ws('/', conv_id, turn)", "text"), ("item", "benchmark", "item_id", "text")]
+    return reduce(lambda a, b: a.unionByName(b), [t(n).selectExpr(f"'{k}' AS kind", f"CAST({i} AS string) AS id", f"{x} AS text") for k, n, i, x in parts])
 
 
 @query("U03_training_texts", "SELECT 'd' AS kind, doc_id AS id FROM documents WHERE length(trim(text)) >= 20 UNION ALL SELECT 'b', item_id FROM benchmark WHERE length(trim(text)) >= 20")
@@ -440,9 +440,9 @@ def _(t):
     return t("orders").select("o_orderkey", T.leading_year(said).alias("year"))
 
 
-@query("T28_marked_words", f"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({PLAIN}, '[a-z][a-z0-9_+.#/-]*[a-z0-9_]')) AS term FROM documents) GROUP BY term HAVING count(*) >= 5")
+@query("T28_marked_words", f"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({PLAIN}, '[a-z][a-z0-9_+.#/-]*[a-z0-9_]')) AS term FROM documents) GROUP BY term")
 def _(t):
-    return t("documents").select(F.explode(T.marked_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 5")
+    return t("documents").select(F.explode(T.marked_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("T27_code_tokens", f"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all({PLAIN}, '[a-z0-9][a-z0-9_+.#/-]*'), lambda x: rtrim(x, '._-/')), lambda x: len(x) > 1))::BIGINT AS tokens FROM documents")
@@ -580,11 +580,11 @@ def _(t):
 
 @query(
     "Q09_search",
-    """WITH h AS (SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part),
+    """WITH h AS (SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey::VARCHAR, p_name FROM part),
     r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY length(name), name, id) AS k FROM h WHERE contains(lower(strip_accents(name)), 'er')) SELECT kind, id, name FROM r WHERE k <= 8""",
 )
 def _(t):
     kinds = [("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("part", "part", "p_partkey", "p_name")]
-    found = reduce(lambda a, b: a.unionByName(b), [t(n).selectExpr(f"'{k}' AS kind", f"{i} AS id", f"{x} AS name") for k, n, i, x in kinds])
+    found = reduce(lambda a, b: a.unionByName(b), [t(n).selectExpr(f"'{k}' AS kind", f"CAST({i} AS string) AS id", f"{x} AS name") for k, n, i, x in kinds])
     found = found.where(F.contains(T.fold(F.col("name")), F.lit("er")))
     return R.top_per_group(found, ["kind"], [F.length("name"), F.col("name"), F.col("id")], 8).drop("place")

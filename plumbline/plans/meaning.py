@@ -18,7 +18,7 @@ STOP = ["the", "and", "of", "to", "de", "la", "le", "und", "der", "die", "que",
 
 
 def turn_terms(t):
-    return IR.postings(t("conversations").withColumn("doc", F.col("conv_id") * 100 + F.col("turn")), "doc", T.words(F.col("text")))
+    return IR.postings(t("conversations").withColumn("doc", F.concat_ws("/", "conv_id", "turn")), "doc", T.words(F.col("text")))
 
 
 @query("R07_document_vectors")
@@ -140,9 +140,9 @@ def _(t):
     return S.group_map(E.group_distances(t("embeddings"), "label", "embedding"))
 
 
-@query("R20_skill_match", "WITH w AS (SELECT DISTINCT l_suppkey AS e, p_brand AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#1' AND l_tax > 0.07), o AS (SELECT s FROM w WHERE e = 1) SELECT e, round(count(*)::DOUBLE / (SELECT count(*) FROM o), 8) AS match, string_agg(s, ';' ORDER BY s) AS shared FROM w WHERE s IN (SELECT s FROM o) AND e <> 1 GROUP BY e")
+@query("R20_skill_match", "WITH w AS (SELECT DISTINCT l_suppkey AS e, p_brand || '/' || p_size AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#1'), o AS (SELECT s FROM w WHERE e = 1) SELECT e, round(count(*)::DOUBLE / (SELECT count(*) FROM o), 8) AS match, string_agg(s, ';' ORDER BY s) AS shared FROM w WHERE s IN (SELECT s FROM o) AND e <> 1 GROUP BY e")
 def _(t):
-    w = t("lineitem").where("l_tax > 0.07").join(t("part").where("p_brand <> 'Brand#1'"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("e"), F.col("p_brand").alias("s")).distinct()
+    w = t("lineitem").join(t("part").where("p_brand <> 'Brand#1'"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("e"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("s")).distinct()
     wanted = w.where("e = 1").select("s")
     n = wanted.agg(F.count("*").alias("n"))  # one row
     have = w.where("e <> 1").join(wanted, "s", "left_semi").groupBy("e").agg(F.count("*").alias("c"), F.array_join(F.array_sort(F.collect_set("s")), ";").alias("shared"))

@@ -49,16 +49,19 @@ def _(t):
     return weights.groupBy("doc_id").agg(F.round(F.max("weight"), 7).alias("top_weight"), F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"))
 
 
-CONVERSATION_WORDS = f"SELECT conv_id * 100 + turn AS id, {WORDS} AS w FROM conversations"
-PAIRS = f"""WITH x AS ({CONVERSATION_WORDS}), v AS (SELECT term FROM (SELECT unnest(w) AS term FROM x) GROUP BY term HAVING count(*) >= 20),
+#: Occurrences that a word of a pair has at least.
+MIN_COUNT = 4
+CONVERSATION_WORDS = f"SELECT {{'conv_id': conv_id, 'turn': turn}} AS id, {WORDS} AS w FROM conversations"
+PAIRS = f"""WITH x AS ({CONVERSATION_WORDS}), v AS (SELECT term FROM (SELECT unnest(w) AS term FROM x) GROUP BY term HAVING count(*) >= {MIN_COUNT}),
     o AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS ix FROM x), k AS (SELECT id, o.term, row_number() OVER (PARTITION BY id ORDER BY ix) AS pos FROM o JOIN v USING (term)),
     h AS (SELECT a.term AS a, b.term AS b, sum(1.0::DOUBLE / (b.pos - a.pos)) AS weight FROM k a JOIN k b ON a.id = b.id AND b.pos - a.pos BETWEEN 1 AND 4 GROUP BY ALL),
     c AS (SELECT a, b, sum(weight) AS weight FROM (SELECT * FROM h UNION ALL SELECT b, a, weight FROM h) GROUP BY a, b)"""
 
 
-def conversation_pairs(t):
-    x = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.posexplode(T.words(F.col("text"))).alias("at", "term"))
-    vocabulary = x.groupBy("term").agg(F.count("*").alias("n")).where("n >= 20").select("term")
+def conversation_pairs(t, min_count: int = MIN_COUNT):
+    """Pairs of words at most four places apart in a turn, of words seen min_count times or more."""
+    x = t("conversations").select(F.struct("conv_id", "turn").alias("id"), F.posexplode(T.words(F.col("text"))).alias("at", "term"))
+    vocabulary = x.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("term")
     kept = x.join(vocabulary, "term", "left_semi").withColumn("pos", F.row_number().over(R.Window.partitionBy("id").orderBy("at")))
     return IR.cooccurrence(kept.select("id", "pos", "term"), "id", 4)
 
@@ -320,9 +323,9 @@ def _(t):
     return t("customer").select("c_custkey", T.normalize_person_name(F.col("c_name")).alias("name"))
 
 
-@query("T28_bigrams", f"WITH x AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT w[i] || ' ' || w[i + 1] AS gram, count(*)::BIGINT AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM x) GROUP BY 1 HAVING count(*) >= 20")
+@query("T28_bigrams", f"WITH x AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT w[i] || ' ' || w[i + 1] AS gram, count(*)::BIGINT AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM x) GROUP BY 1")
 def _(t):
-    return t("documents").select(F.explode(T.ngrams(T.words(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
+    return t("documents").select(F.explode(T.ngrams(T.words(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("T31_recency", "SELECT o_orderkey, round(pow(2.0::DOUBLE, -greatest(0, 2002 - year(o_orderdate)) / 6.0::DOUBLE), 8) AS weight FROM orders")

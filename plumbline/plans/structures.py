@@ -92,7 +92,7 @@ def _(t):
 
 def weighted_terms(t):
     """Turns of conversations over the words of at least two of them, weighted by 1 + ln tf."""
-    tf = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc"), F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    tf = t("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc"), F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").select("term")
     return tf.join(vocabulary, "term", "left_semi").select("doc", "term", (1 + F.log("tf")).alias("value"))
 

@@ -25,6 +25,19 @@ def test_gather_takes_the_nearest_leaf_and_no_empty_ones(leaves):
     assert rows == [("row", "$['rows'][0]['row']", None, None, "1", None), ("row", "$['rows'][2]['row']", None, None, "3", "q"), ("top", "$['Top']", "near", None, None, None)]
 
 
+def test_families_by_steps(spark):
+    """Keys that are numbers are keys, quotes and backslashes count, indices stand anywhere, and a path that doesn't begin with steps has no family."""
+    said = ["$['a'][1]['7']['x']", "$[0]['a']['it\\'s'][2][3]", "$['a']['b\\\\']['c'][0]['d']", "$['a']", "$.more['a']['k']", "$['z']['k']", None]
+    df = spark.createDataFrame([(1, i, p, "v") for i, p in enumerate(said)] + [(1, 99, "$['a']['k']", " ")], "id long, ordinal long, path string, text string")
+    got = {r.ordinal: (r.family, r.prefix, r.wildcard, r.rest, r.name, r.below) for r in RC.placed(df, "id", [("two", "a.*"), ("one", "a")]).collect()}
+    assert got == {
+        0: ("two", "$['a'][1]['7']", "7", "['x']", "x", 1),
+        1: ("two", "$[0]['a']['it\\'s'][2][3]", "it's", "", None, 0),
+        2: ("two", "$['a']['b\\\\']", "b\\", "['c'][0]['d']", "d", 2),
+        3: ("one", "$['a']", "", "", "a", 0),
+    }
+
+
 def test_gather_of_nothing(leaves):
     assert RC.gather(leaves.where("id > 3"), "id", {"row": "rows.row"}, {"n": ["n"]}).count() == 0
 
