@@ -67,6 +67,18 @@ def test_maps(spark):
     assert S.principal_coordinates(np.zeros((1, 1))).shape == (1, 2)
 
 
+def test_axes_of_wide_vectors(spark):
+    """2,560 columns, with a flat end of the spectrum; no row and rows without a vector are no crash."""
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((300, 2560)) @ np.diag(np.r_[[9, 7, 6, 5], np.ones(2556)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)] + [(900, None)], "id int, vector array<double>").checkpoint()
+    got = {r.id: np.array(r.vector) for r in S.projected(df, "id", 2560, 4).collect()}
+    axes = np.linalg.svd(m, full_matrices=False)[2][:4].T
+    want = unit_rows(m @ (axes * np.where(axes.max(0) >= -axes.min(0), 1.0, -1.0)))
+    assert sorted(got) == list(range(300)) and np.allclose([got[i] for i in range(300)], want, atol=1e-6)
+    assert S.projected(df.where("false"), "id", 0, 4).count() == 0
+
+
 def test_projected_and_placed(spark):
     rng = np.random.default_rng(3)
     m = rng.standard_normal((20, 5)) @ np.diag([5, 3, 1, 0.5, 0.1])

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators.axes import leading_axes, sparse_gram_times
 from plumbline.operators import graph as G
 from plumbline.operators import identity as ID
 from plumbline.operators import iterative as IT
@@ -86,6 +87,18 @@ def test_latent_vectors(spark):
     assert v[1] @ v[2] > 0.9 and v[3] @ v[4] > 0.9 and abs(v[1] @ v[3]) < 0.1 and not v[5].any() and not v[6].any()
 
 
+def test_latent_axes_equal_svd(spark):
+    """The axes of the sparse rows are those of the dense matrix."""
+    rng = np.random.default_rng(2)
+    m = rng.random((60, 40)) * (rng.random((60, 40)) < 0.2)
+    m[3] = 0
+    rows = [([int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for r in m]
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>")
+    got = leading_axes(lambda block: sparse_gram_times(df, block), 40, 3)
+    want = np.linalg.svd(m)[2][:3].T
+    assert np.allclose(np.abs(got.T @ want), np.eye(3), atol=1e-8)
+
+
 def test_names(spark):
     names = ["LADLE, Richard J.", "R. Ladle", "Richard James Ladle", "Ricardo Ladle", "Ladle", "Ana Maria Souza", "Ana Souza", None, ""]
     df = spark.createDataFrame([(n,) for n in names], "name string")
