@@ -43,24 +43,35 @@ def with_place(df: DataFrame, by: list[str], score: str, tie: str, name: str, bi
     return binned.withColumn("_place", place).join(above, reduce(lambda a, b: a & b, on)).select(*df.columns, (F.col("_place") + F.col("_above")).cast("int").alias(name))
 
 
-def with_percentile(df: DataFrame, by: list[str], score: str, name: str, bins: int = 64) -> DataFrame:
-    """df with percentile_rank under a name, from counts: no task sorts a group.
+def value_counts(df: DataFrame, by: list[str], value: str, bins: int = 64) -> DataFrame:
+    """A row per group and value, the group's columns as _0, _1 ...: the value _v, its rows _n, the rows _below and the sum _under of smaller values, the group's rows _all.
 
-    Scores are counted per value, values fall into bins by approximate quantiles of all scores, bins are added up (at most `bins` rows a group)
-    and values only within a bin. Null scores come first and are equal.
+    Values fall into bins by approximate quantiles of all values, bins are added up (at most `bins` rows a group) and values only within a bin, so
+    no task sorts a group. Nulls come first, are equal, and add nothing to a sum.
     """
-    v, bin_of = F.col(score), score_bin(df, score, bins)
-    counts = df.select(*by, v.alias("_v"), bin_of.alias("_bin")).groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"))
-    bin_sizes = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m"))
-    group = Window.partitionBy(*by)
-    below = bin_sizes.select(*by, "_bin", F.sum("_m").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), "_m", F.sum("_m").over(group).alias("_all"))
-    inside = F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    x, y = counts.withColumn("_inside", inside).alias("x"), below.alias("y")
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*by, "_bin"]]
-    place = F.col("_upto") - F.col("_m") + F.col("_inside") + 1 + (F.col("_n") - 1) / 2.0
-    ranked = x.join(y, reduce(lambda a, b: a & b, same)).select(*[F.col(f"x.{c}").alias(f"_{i}") for i, c in enumerate(by)], "_v", (place / F.col("_all") * 100.0).alias(name))
-    on = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)] + [v.eqNullSafe(F.col("_v"))]
-    return df.join(ranked, reduce(lambda a, b: a & b, on)).select(*[df[c] for c in df.columns], name)
+    v, bin_of = F.col(value), score_bin(df, value, bins)
+    group = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
+    keys = [f"_{i}" for i in range(len(by))]
+    counts = df.select(*group, v.alias("_v"), bin_of.alias("_bin")).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.col("_n") * F.col("_v").cast("double"), F.lit(0.0)))
+    sizes = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"), F.sum("_s").alias("_t"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole, inner = Window.partitionBy(*keys), Window.partitionBy(*keys, "_bin").orderBy("_v")
+    lower = sizes.select(*keys, "_bin", before("_m", whole.orderBy("_bin")).alias("_rows"), before("_t", whole.orderBy("_bin")).alias("_sum"), F.sum("_m").over(whole).alias("_all"))
+    x, y = counts.withColumn("_inside", before("_n", inner)).withColumn("_within", before("_s", inner)).alias("x"), lower.alias("y")
+    joined = x.join(y, reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*keys, "_bin"]]))
+    return joined.select(*[f"x.{c}" for c in keys], "_v", "_n", (F.col("_rows") + F.col("_inside")).alias("_below"), (F.col("_sum") + F.col("_within")).alias("_under"), "_all")
+
+
+def with_percentile(df: DataFrame, by: list[str], score: str, name: str, bins: int = 64) -> DataFrame:
+    """df with percentile_rank under a name, from counts per value: no task sorts a group. Null scores come first and are equal."""
+    place = F.col("_below") + 1 + (F.col("_n") - 1) / 2.0
+    ranked = value_counts(df, by, score, bins).withColumn(name, place / F.col("_all") * 100.0)
+    return df.join(ranked, of_value(by, score)).select(*[df[c] for c in df.columns], name)
+
+
+def of_value(by: list[str], value: str) -> Column:
+    """Whether a row of value_counts is that of a row's group and value."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)] + [F.col(value).eqNullSafe(F.col("_v"))])
 
 
 def reciprocal_rank_fusion(scores: DataFrame, by: list[str], item: str, channel: str, weights: dict[str, float], k: int = 60) -> DataFrame:
@@ -83,23 +94,33 @@ def weighted_mean_of_best(df: DataFrame, by: list[str], value: str, weight: str,
     return best.groupBy(*by).agg(F.when(total > 0, F.sum(F.col(value) * F.col(weight)) / total).otherwise(0.0).alias("mean"))
 
 
-def concentration(df: DataFrame, by: list[str], value: str, top: int) -> DataFrame:
-    """Per group: gini, hhi and the share of the `top` largest values (finite, at least 0)."""
-    group = Window.partitionBy(*by)
-    ranked = df.withColumn("i", F.row_number().over(group.orderBy(value))).withColumn("d", F.row_number().over(group.orderBy(F.col(value).desc())))
-    n, total = F.count("*"), F.sum(value)
-    return ranked.groupBy(*by).agg(
-        F.when(total > 0, F.greatest(F.lit(0.0), (2.0 * F.sum(F.col("i") * F.col(value)) - (n + 1) * total) / (n * total))).otherwise(0.0).alias("gini"),
-        F.when(total > 0, F.sum(F.col(value) * F.col(value)) / (total * total)).otherwise(0.0).alias("hhi"),
-        F.when(total > 0, F.sum(F.when(F.col("d") <= top, F.col(value)).otherwise(0.0)) / total).otherwise(0.0).alias("top_share"),
-    )
+def concentration(df: DataFrame, by: list[str], value: str, top: int, bins: int = 64) -> DataFrame:
+    """Per group: gini, hhi and the share of the `top` largest values (finite, at least 0), from counts per value. Nulls take places and add nothing."""
+    keys, v, rows = [f"_{i}" for i in range(len(by))], F.col("_v").cast("double"), F.col("_n")
+    n, total = F.first("_all"), F.sum(rows * v)
+    places = rows * F.col("_below") + rows * (rows + 1) / 2.0  # the sum of the places of equal values
+    above = F.col("_all") - F.col("_below") - rows
+    among = F.greatest(F.least(F.lit(top) - above, rows), F.lit(0))
+    per = value_counts(df, by, value, bins).groupBy(*keys).agg(
+        F.when(total > 0, F.greatest(F.lit(0.0), (2.0 * F.sum(places * v) - (n + 1) * total) / (n * total))).otherwise(0.0).alias("gini"),
+        F.when(total > 0, F.sum(rows * v * v) / (total * total)).otherwise(0.0).alias("hhi"),
+        F.when(total > 0, F.sum(among * v) / total).otherwise(0.0).alias("top_share"),
+    )
+    return per.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "gini", "hhi", "top_share")
 
 
-def lorenz(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """Cumulative shares in ascending order."""
-    group = Window.partitionBy(*by)
-    run = group.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("population", F.row_number().over(group.orderBy(value, tie)) / F.count("*").over(group)).withColumn("share", F.sum(value).over(run) / F.sum(value).over(group))
+def lorenz(df: DataFrame, by: list[str], value: str, tie: str, bins: int = 64) -> DataFrame:
+    """df with cumulative shares of rows (population) and values (share) in ascending order, ties by `tie`; rows of one value alone are sorted together.
+
+    A null value has no share; where all values are zero, shares are equal.
+    """
+    counts = value_counts(df, by, value, bins)
+    total = counts.groupBy(*[F.col(f"_{i}").alias(f"_g{i}") for i in range(len(by))]).agg(F.sum(F.col("_n") * F.col("_v").cast("double")).alias("_total"))
+    counts = counts.join(total, reduce(lambda a, b: a & b, [F.col(f"_{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(by))], F.lit(True)))
+    among = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by, value).orderBy(tie)))
+    population = (F.col("_below") + F.col("_k")) / F.col("_all")
+    share = F.when(F.col("_total") > 0, (F.col("_under") + F.col("_k") * F.col(value).cast("double")) / F.col("_total")).when(F.col(value).isNotNull(), population)
+    return among.join(counts, of_value(by, value)).select(*[among[c] for c in df.columns], population.alias("population"), share.alias("share"))
 
 
 def retrieval_quality(ranked: DataFrame, task: list[str], query: str) -> DataFrame:

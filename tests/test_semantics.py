@@ -165,6 +165,28 @@ def test_percentile_equals_window(spark):
     assert R.with_percentile(df.where("false"), ["g"], "v", "p").count() == 0
 
 
+def test_concentration_and_lorenz_equal_sorted_rows(spark):
+    """Counts per value give what sorting each group gives: ties, nulls, a group of one value, zeros, and one without a key."""
+    rng = np.random.default_rng(6)
+    rows = [(int(g), None if x > 2.2 else float(np.round(abs(x), 1)), i) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 600), rng.standard_normal(600), strict=True))]
+    rows += [(7, 2.0, 1000 + i) for i in range(50)] + [(8, 0.0, 2000), (8, 0.0, 2001), (None, 3.0, 3000), (None, 1.0, 3001), (9, None, 4000)]
+    df = spark.createDataFrame(rows, "g int, v double, id long")
+    got = {r.g: r for r in R.concentration(df, ["g"], "v", 3).collect()}
+    curve = {r.id: (r.population, r.share) for r in R.lorenz(df, ["g"], "v", "id").collect()}
+    assert set(got) == {g for g, _, _ in rows} and set(curve) == {i for _, _, i in rows}
+    for g in got:
+        mine = sorted(((v, i) for h, v, i in rows if h == g), key=lambda r: (r[0] is not None, r[0] or 0.0, r[1]))
+        x = np.array([v or 0.0 for v, _ in mine])
+        n, total = len(x), x.sum()
+        want = ((2 * (np.arange(1, n + 1) * x).sum() - (n + 1) * total) / (n * total), (x * x).sum() / total**2, np.sort(x)[::-1][:3].sum() / total) if total else (0.0, 0.0, 0.0)
+        assert np.allclose([got[g].gini, got[g].hhi, got[g].top_share], np.maximum(want, 0.0))
+        for k, (v, i) in enumerate(mine):
+            share = x[: k + 1].sum() / total if total else (k + 1) / n
+            assert abs(curve[i][0] - (k + 1) / n) < 1e-12 and ((curve[i][1] is None) if v is None else abs(curve[i][1] - share) < 1e-9)
+    assert R.concentration(df.where("false"), ["g"], "v", 3).count() == R.lorenz(df.where("false"), ["g"], "v", "id").count() == 0
+    assert R.lorenz(df.where("g = 7"), [], "v", "id").count() == 50
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Name;AGE \nJosé;3\n\"x;y\";\n".encode("cp1252"))
     (tmp_path / "b.csv").write_bytes("﻿age\tname\n5\tÁé\n".encode())

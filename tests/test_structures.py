@@ -1,5 +1,7 @@
 import math
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -110,6 +112,64 @@ def test_names(spark):
     assert got == {"Richard Ladle": (1, "inferred"), "R. Ladle": (None, None), "SOUZA, Ana": (3, "exact"), "Ladle": (None, None), "Eva Melo": (None, None)}
 
 
+def greedy(spellings):
+    """The rule of merged names over all spellings of a block, one by one: against every member of every group."""
+    groups = []
+    for name in sorted(spellings, key=lambda n: (-len(n.split()), -len(n), n)):
+        home = next((g for g in groups if all(ID.compatible(name.split(), other.split()) for other in g)), None)
+        groups.append([name]) if home is None else home.append(name)
+    return {name: g[0] for g in groups for name in g}
+
+
+def hot_block(n, seed):
+    """n spellings of one initial and family name: words of up to three inner names, whole or as letters."""
+    rng = random.Random(seed)
+    inner, found = ["JO", "JA", "KIM", "KAY", "LU"], set()
+    while len(found) < n:
+        words = [rng.choice(["R", "RICHARD", "ROBERT", "RUTH"])] + [w[: rng.choice([1, 9])] for w in rng.choices(inner, k=rng.randrange(0, 4))]
+        found.add(" " * rng.randrange(3) + " ".join(words) + " " * rng.randrange(1, 12) + "LADLE")
+    return sorted(found)
+
+
+def test_names_of_a_hot_block_equal_greedy(spark):
+    spellings = hot_block(20_000, 5)
+    df = spark.createDataFrame([(n,) for n in spellings] * 2, "name string")
+    got = {r.name: r.person for r in ID.merge_names(df, "name").collect()}
+    assert got == greedy(spellings)
+    assert ID.merge_names(df.where("false"), "name").count() == 0
+
+
+def test_groups_of_many_lists_equal_greedy():
+    """Random word lists, with many words that occur once and words of one letter."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        words = ["A", "B", "C", *(c + str(i) for c in "ABC" for i in range(rng.choice([1, 3, 400])))]
+        lists = sorted({tuple(rng.choices(words, k=rng.randrange(2, 6))) for _ in range(200)}, key=lambda t: (-len(t), t))
+        homes = []
+        for tokens in lists:
+            groups = dict.fromkeys(homes)
+            fit = (g for g in groups if all(ID.compatible(list(tokens), list(lists[i])) for i, h in enumerate(homes) if h == g))
+            homes.append(next(fit, len(homes)))
+        assert ID.grouped([list(t) for t in lists]) == homes
+
+
+def test_only_person_equals_all_pairs():
+    for seed in range(40):
+        rng = random.Random(seed)
+        words = ["A", "B", "C", *(c + str(i) for c in "ABC" for i in range(rng.choice([1, 3, 60])))]
+        some = lambda n: [rng.choices(words, k=rng.randrange(2, 6)) for _ in range(n)]
+        asked, known = some(80), some(rng.choice([0, 5, 60]))
+        fits = [[i for i, k in enumerate(known) if ID.compatible(a, k)] for a in asked]
+        assert ID.only_fits(asked, known) == [f[0] if len(f) == 1 else None for f in fits]
+
+
+def test_large_person_ids(spark):
+    """Ids beyond 2^53, beside a null one, come back as they are."""
+    people = spark.createDataFrame([(2**62 + 1, "Richard James Ladle"), (None, "Robert Ladle")], "person_id long, person string")
+    said = spark.createDataFrame([("Richard Ladle",), ("R. Ladle",)], "name string")
+    assert {r.name: r.person_id for r in ID.resolve(said, "name", people).collect()} == {"Richard Ladle": 2**62 + 1, "R. Ladle": None}
+
+
 def test_pages(spark):
     html = "<title>A &amp; b</title><style>x{}</style><h1>Top <b>one</b></h1><a href='/p?q=1'>go</a><table><tr><th>k<td>v</table><dl><dt>n<dd>m</dl><img src=i.png alt=pic><script>no</script><form action=f></form>tail"
     df = spark.createDataFrame([(1, "http://x.y/d/", html), (2, None, None), (3, "http://x.y", "<a href='#t'><p>open")], "id long, url string, html string")
