@@ -35,6 +35,8 @@ FEW, PIVOTS, FIRST, SALTS = 32, 6, 3, 16
 #: Bits of a set's own fingerprint, in parts of 64, and how many of them sets of that similarity may differ in: their cosine is 8 / 9 at least, so a
 #: bit differs at a rate of 0.1515 at most, and three deviations are allowed for. Sets of fewer than SMALL shingles are always compared.
 PARTS, MOST_SET_BITS, SMALL = 8, 102, 64
+#: Sets that crowded buckets leave apart are compared in tiles of about so many shingles, but so many sets at least; shingles are counted so many at once.
+TILE, TILE_SETS, COLUMNS = 1 << 16, 4, 4096
 _FLIPS = np.concatenate(([0], 1 << np.arange(GOLAY_BITS))).astype(np.int64)
 
 
@@ -211,43 +213,90 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, n long, h array<long>, sig array<long>")
 
 
+def tile_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) among the sets (row, component, h) of a table, as many as join what all its pairs that are similar enough join, exactly."""
+    table = table.combine_chunks()
+    row, of = table["row"].to_numpy(), table["component"].to_numpy()
+    lists = table["h"].chunk(0)
+    n = np.diff(lists.offsets.to_numpy())
+    _, token, many = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(row)), n), many[token] > 1
+    owner, token = owner[shared], (np.cumsum(many > 1) - 1)[token[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    same = np.zeros((len(row), len(row)), np.int64)
+    for begin in range(0, int((many > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(token, (begin, begin + COLUMNS))
+        has = np.zeros((len(row), COLUMNS), np.float32)
+        has[owner[i:j], token[i:j] - begin] = 1
+        same += (has @ has.T).astype(np.int64)
+    joined = ((2 * NEAR_PARTS + 1) * same >= NEAR_PARTS * (n[:, None] + n)) | (of[:, None] == of)
+    left, a, b = np.ones(len(row), bool), [], []
+    while left.any():  # a tree from the first row left
+        front = np.array([left.argmax()])
+        while len(front):
+            left[front] = False
+            after = np.flatnonzero(joined[front].any(0) & left)
+            before = front[joined[np.ix_(front, after)].argmax(0)]
+            new = of[before] != of[after]
+            a.append(np.minimum(row[before], row[after])[new])
+            b.append(np.maximum(row[before], row[after])[new])
+            front = after
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of members(main, row, component, n): the rows of a main that are outside that component are compared with
+    all others of it, exactly. Rows are dealt out to tiles, and each pair of tiles is one group: a row moves once for each tile of its main that it
+    is compared with and not once for each pair."""
+    out = F.col("component") != F.col("main")
+    tiles = lambda of: F.greatest(F.lit(1), F.ceil(F.least(F.sum(F.when(of, F.col("n"))) / TILE, F.count(F.when(of, 1)) / TILE_SETS))).cast("long")
+    dealt = members.join(members.groupBy("main").agg(tiles(~out).alias("inner"), tiles(out).alias("outer")), "main")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("row"), F.when(out, F.col("outer")).otherwise(F.col("inner"))))
+    # tiles of the main component count from -1 downwards
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    others = F.concat(F.transform(upto("outer"), lambda t: cell(F.least("tile", t), F.greatest("tile", t))), F.transform(upto("inner"), lambda t: cell(F.col("tile"), -1 - t)))
+    cells = F.when(out, others).otherwise(F.transform(upto("outer"), lambda t: cell(t, -1 - F.col("tile"))))
+    met = dealt.select("main", "row", "component", F.explode(cells).alias("cell")).join(sets.select("row", "h"), "row")
+    return met.groupBy("main", "cell").applyInArrow(tile_links, "a long, b long")
+
+
 def near_links(docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between rows of docs(row, text), row being unique; they join the same components as all candidate pairs that are near copies.
 
     Pairs of a bucket are candidates if the first 64 bits of their fingerprints are close. Each row is held against its first partners; after
-    that only pairs between different components are: the other candidates, and in a crowded bucket, which copies of one text fill, the rows outside
-    its largest component with all others, as far as the fingerprints of their sets allow. Two components are first compared by their closest pair, and by
-    the others only if they are still apart. So a group of copies costs its rows and not its pairs.
+    that only pairs between different components are: the other candidates, as far as the fingerprints of their sets allow, and in crowded buckets,
+    which copies of one text fill, the rows outside the largest component with all others, in tiles. Two components that other candidates share are first
+    compared by their closest pair, and by the others only if they are still apart. So a group of copies costs its rows and not its pairs, and
+    look-alikes that are no copies cost no row for each pair.
     """
     whole, tables = shape_of_tables(docs.count())
     met = written(keyed(docs, whole, tables).repartition("key").sortWithinPartitions("key", "row").mapInArrow(bucket_pairs, "key long, a long, b long, fp long"))
-    crowded = met.where("b IS NULL").select("key", F.col("a").alias("row"), "fp")
+    crowded = met.where("b IS NULL").select("key", F.col("a").alias("row"))
     pairs = written(met.where("b IS NOT NULL").select("a", "b").distinct())
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).union(crowded.select("row")).distinct())
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).union(crowded.select("row")).distinct())  # so that Spark knows its size, and texts mostly stay where they are
     sets = written(shingle_sets(docs.join(nodes, "row", "left_semi")))
     discard(nodes)
     first = _first_partners(pairs)
     chosen = written(first.join(sets.select(*marks(sets, "b")), "b").join(sets.select(*marks(sets, "a")), "a").where(likely()).select("a", "b"))
     links = written(verified(chosen, sets, SALTS))
     discard(chosen)
-    # of the other candidates only those between components, told where they meet
+    # of the other candidates only those between components
     of = components(links).select(F.col("node").alias("row"), "component")
     marked = written(sets.select("row", "n", "sig").join(of, "row", "left").withColumn("component", F.coalesce("component", "row")))
+    placed = written(crowded.join(marked.select("row", "component", "n"), "row"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("less"))).alias("most"), F.count("*").alias("parts"))
+    split = parts.where("parts > 1").select("key", (-F.col("most.less")).alias("main"))
+    tiled = written(compared(placed.join(split, "key").select("main", "row", "component", "n").distinct(), sets))
     side = lambda c: marked.select(*marks(marked, c), F.col("component").alias(f"of_{c}"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(side("b"), "b").join(side("a"), "a").where((F.col("of_a") != F.col("of_b")) & likely())
-    placed = written(crowded.join(marked, "row").select("key", "row", "fp", "component", "n", "sig"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-    split = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
-    outside = placed.join(split, "key").where("component <> main").select("key", F.col("fp").alias("fpa"), *marks(placed, "a"), F.col("component").alias("of_a"))
-    inside = placed.select("key", F.col("fp").alias("fpb"), *marks(placed, "b"), F.col("component").alias("of_b"))
-    close = F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= MOST_BITS
-    rest = inside.join(outside, "key").where((F.col("of_a") != F.col("of_b")) & close & likely())
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("of_a", "of_b").alias("low"), F.greatest("of_a", "of_b").alias("high"), set_bits().alias("bits")]
-    rest = written(rest.select(*ends).union(apart.select(*ends)).distinct())
+    rest = written(apart.select("a", "b", F.least("of_a", "of_b").alias("low"), F.greatest("of_a", "of_b").alias("high"), set_bits().alias("bits")))
     discard(met, pairs, first, placed)
     # the closest pair of two components settles them, mostly; only where it didn't, their other pairs are compared
     best = written(rest.groupBy("low", "high").agg(F.min(F.struct("bits", "a", "b")).alias("best")).select("best.a", "best.b"))
-    settled = written(verified(best, sets, SALTS))
+    settled = written(verified(best, sets, SALTS).union(tiled))
+    discard(tiled)
     joined = written(components(settled.join(marked.select(F.col("row").alias("a"), F.col("component").alias("of_a")), "a").join(marked.select(F.col("row").alias("b"), F.col("component").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
     now = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")), c, "left").withColumn(f"now_{c}", F.coalesce(f"now_{c}", c))
     last = written(now(now(rest.join(best, ["a", "b"], "left_anti"), "low"), "high").where("now_low <> now_high").select("a", "b"))
