@@ -171,7 +171,7 @@ def test_near_texts_of_look_alikes(spark):
     kept, most = rows_of_joins(spark, lambda: {r.doc_id for r in near_texts.without_near_copies(docs).collect()})
     assert 50 < len(set(label)) < 450
     assert kept == {min(i for i, k in enumerate(label) if k == c) for c in set(label)}
-    assert most < 200 * len(texts)  # a row has so many keys at most; a join of pairs in their buckets made over a million
+    assert most < 200 * len(texts)  # a row has so many keys at most; a join of pairs by key made 3,113,202
 
 
 @pytest.mark.parametrize("columns", [4096, 7])
