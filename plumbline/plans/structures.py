@@ -25,7 +25,7 @@ def _(t):
 @query("S19_page_titles", "SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title FROM pages WHERE contains(html, '<title>')")
 def _(t):
     p = P.page_parts(t("pages"), "page_id", "url", "html").where("kind = 'title'")
-    return p.select("page_id", F.md5(T.clean_text(F.col("text")).cast("binary")).alias("title"))
+    return p.select("page_id", F.md5(F.col("text").cast("binary")).alias("title"))
 
 
 @query("S19_page_images", "SELECT page_id, count(*)::BIGINT AS images FROM (SELECT page_id, unnest(regexp_extract_all(html, '<img [^>]*src=\"([^\"]+)\"', 1)) FROM pages) GROUP BY page_id")

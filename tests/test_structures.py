@@ -182,6 +182,14 @@ def test_pages(spark):
     assert not [r for r in parts if r.id == 2 or "no" == r.text] and [r.text for r in parts if r.id == 3 and r.kind == "link"] == ["open"]
 
 
+def test_references_without_semicolon(spark):
+    """A reference that a cut text ends in stays as it is written, and so do bullets in a title."""
+    html = "<title>a &amp;&amp;&amp</title><title>b • &lt;c&gt; &am</title><title>&copy 2 &#65; &#66 &</title><a href='/p?a=1&copy=2&amp;b=3'>x</a>"
+    parts = P.page_parts(spark.createDataFrame([(1, "http://x.y/", html)], "id long, url string, html string"), "id", "url", "html").collect()
+    assert [r.text for r in parts if r.kind == "title"] == ["a &&&amp", "b • <c> &am", "&copy 2 A &#66 &"]
+    assert [r.target for r in parts if r.kind == "link"] == ["http://x.y/p?a=1&copy=2&b=3"]
+
+
 def test_json_leaves(spark):
     df = spark.createDataFrame([(1, '{"a": {"b\'": [1, true, null, {}]}, "c": "x"}'), (2, "broken"), (3, None)], "id long, j string")
     got = {i: [(r.path, r.type, r.text) for r in P.json_leaves(df, "id", "j").where(F.col("id") == i).orderBy("ordinal").collect()] for i in (1, 2, 3)}
