@@ -1,5 +1,9 @@
 """Text rules, records from leaves, representations, coherence, distances and the battery of retrieval tasks."""
 
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
@@ -7,7 +11,8 @@ from plumbline.operators import evaluation as E
 from plumbline.operators import ranking as R
 from plumbline.operators import records as RC
 from plumbline.operators import retrieval as IR
-from plumbline.plans.measures import COS, WORDS
+from plumbline.operators import tiles as TL
+from plumbline.plans.measures import COS, WORDS, vector_task
 from plumbline.plans.registry import query
 from plumbline.plans.relational import MONEY, long
 from plumbline.sources import pages as P
@@ -124,18 +129,24 @@ CHANNELS = f"""c AS (SELECT 'full' AS channel, q.vec_id AS query, e.vec_id AS it
 
 
 def channels(t):
-    """The stated query set against all vectors, in two views."""
-    e = t("embeddings").select(F.col("vec_id").alias("item"), "embedding", "label")
-    q = t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("want"))
-    both = e.join(q, F.col("item") != F.col("query")).withColumn("e16", F.slice("embedding", 1, 16)).withColumn("q16", F.slice("q", 1, 16))
-    views = F.stack(F.lit(2), F.lit("full"), F.round(IR.cosine("embedding", "q"), 7), F.lit("short"), F.round(IR.cosine("e16", "q16"), 7)).alias("channel", "score")
-    return both.select("query", "item", (F.col("label") == F.col("want")).alias("relevant"), views)
+    """All vectors, and the stated query set in two views: whole, and the first 16 numbers."""
+    items, queries = vector_task(t)
+    return items, {"full": TL.vector_queries(queries), "short": TL.vector_queries(queries, 16)}
 
 
 @query("R10_fused_views", f"WITH {CHANNELS} SELECT query, item, round(sum(CASE channel WHEN 'full' THEN 2 ELSE 1 END * score) / 3, 9) AS score FROM c GROUP BY query, item")
 def _(t):
-    w = F.when(F.col("channel") == "full", 2.0).otherwise(1.0)
-    return channels(t).groupBy("query", "item").agg(F.round(F.sum(w * F.col("score")) / 3, 9).alias("score"))
+    items, views = channels(t)
+
+    def fused(keys):
+        whole, short = keys
+        total = 2.0 * np.nan_to_num(whole) / TL.SCALE + np.nan_to_num(short) / TL.SCALE
+        return np.where(np.isnan(whole) & np.isnan(short), np.nan, total / 3 if repeated else TL.rounded(total / 3, 1e9) / 1e9)
+
+    repeated = not items.groupBy("item").count().where("count > 1").isEmpty()
+    found = TL.all_pairs(items, list(views.values()), "score", fused)
+    # ids that come twice add up
+    return found.groupBy("query", "item").agg(F.round(F.sum("score"), 9).alias("score")) if repeated else found
 
 
 @query(
@@ -145,7 +156,9 @@ def _(t):
     SELECT channel, count(*)::BIGINT AS cases, round(avg(1.0::DOUBLE / first), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM p GROUP BY channel""",
 )
 def _(t):
-    return E.battery(channels(t)).select("channel", "cases", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
+    items, views = channels(t)
+    found = [TL.quality(items, q).where("cases > 0").select(F.lit(name).alias("channel"), "cases", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg")) for name, q in views.items()]
+    return reduce(DataFrame.union, found)
 
 
 SEARCH = f"""k AS (SELECT doc_id, source, {WORDS} AS w FROM documents), a AS (SELECT avg(len(w)) AS mean, count(*) AS n FROM k), h AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM k) WHERE term IN ('license', 'public') GROUP BY ALL),
